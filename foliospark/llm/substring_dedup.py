@@ -64,6 +64,12 @@ class _Windows:
         self.short = rungs[min(SHORT_PREFIX, k)][:n]
         self.named = sliding_min(rungs[anchor], k - anchor + 1)[:n] if n else rungs[k]
         self.at = np.flatnonzero(self.words.left()[:n] >= k)
+        # A place is named by some window if the largest name among the windows around it is its own hash.
+        reach = k - anchor
+        names = np.zeros(n + 2 * reach, U64)
+        names[self.at + reach] = self.named[self.at]
+        most = ~sliding_min(~names, reach + 1)
+        self.places = rungs[anchor][: len(most)][(most == rungs[anchor][: len(most)]) & (most > 0)]
 
     def repeated_here(self, x: np.ndarray) -> np.ndarray:
         values, counts = np.unique(x, return_counts=True)
@@ -71,7 +77,7 @@ class _Windows:
 
     def candidates(self, elsewhere: np.ndarray) -> np.ndarray:
         named = self.named[self.at]
-        return self.at[np.isin(named, np.concatenate([elsewhere, self.repeated_here(named)]))]
+        return self.at[np.isin(named, np.concatenate([elsewhere, self.repeated_here(self.places)]))]
 
 
 def _gathered(lists) -> np.ndarray:
@@ -166,7 +172,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WOR
 
     def by_chunk(found: DataFrame, how: str) -> DataFrame:
         lists = found.groupBy("chunk").agg(F.collect_list("hashes").alias("lists"))
-        return chunks.df.select("chunk", "payload").join(lists, "chunk", how)
+        return chunks.df.select("chunk", "payload").join(lists.hint("merge"), "chunk", how)
 
     def deal(batches):
         for batch in batches:

@@ -25,7 +25,7 @@ def normalize_text(x) -> Column:
 
 
 def lines(x) -> Column:
-    return F.split(F.regexp_replace(_c(x), "\r?\n$", ""), "\r?\n", -1)
+    return F.split(F.regexp_replace(_c(x), r"\r?\n\z", ""), r"\r?\n", -1)
 
 
 def is_blank(x) -> Column:

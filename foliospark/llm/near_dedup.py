@@ -4,9 +4,11 @@ A document's set holds its distinct word shingles (64-bit hashes); a shorter tex
 Documents with equal sets form one class at once and go on as one, so groups of copies cost a row. SuperMinHash gives
 each shingle one random permutation of the signature's slots, walked step by step; the walk ends early, once no slot can
 still fall. Bands of the signature name buckets; in a bucket, members are paired with the smallest one, not with each
-other. Pairs are confirmed on full sets and grouped. Then buckets whose members still lie in different groups pair
-these members too (of set sizes that can reach the threshold), so that a link whose ends both miss the smallest member
-isn't lost. With 20 bands of 4, a pair at similarity 0.85 shares no bucket with probability 4e-7.
+other. Pairs are confirmed on full sets and grouped. Then the members of buckets that
+still span several groups meet in an exact join: a set's partner shares one of its rarest shingles (a prefix in the order
+of how many of these sets hold a shingle, as long as the threshold asks), so sets of different groups that share such a
+shingle are paired and confirmed, and no link whose ends both miss the smallest member is lost. Large groups of copies
+that differ too much from each other have rare shingles enough, and make few pairs. With 20 bands of 4, a pair at similarity 0.85 shares no bucket with probability 4e-7.
 
 Grouping is union-find inside each partition of the edges, then alternating large-star and small-star steps over
 written tables until nothing changes; the driver sees counts only.
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from foliospark.llm.shared import Written, arrow_rows, slices
 from foliospark.llm.textcore import GOLD, U64, Words, ladder, mix
@@ -129,7 +132,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     signed = Written(source.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, bands array<bigint>"), "signed")
     linkable = signed.df.filter("n_shingles > 0 and doc_id is not null")
     classes = linkable.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    banded = Written(classes.select("node", "n", F.explode("bands").alias("band")), "bands")
+    banded = Written(classes.select("set_key", "node", "n", F.explode("bands").alias("band")), "bands")
     members = banded.df
     buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("size")).filter("size > 1").select("band", "a")
     stars = Written(members.join(buckets, "band").filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
@@ -142,7 +145,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
                 for part in slices(batch, "text"):
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(part.column("text"), shingle)], pa.binary())], names=["doc_id", "set_"])
 
-        sets = Written(source.join(ids, "doc_id", "left_semi").mapInArrow(full, "doc_id long, set_ binary").filter("length(set_) > 0"), "sets")
+        sets = Written(source.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(full, "doc_id long, set_ binary").filter("length(set_) > 0"), "sets")
         written.append(sets)
         with_b = pairs.join(sets.df.select(F.col("doc_id").alias("b"), F.col("set_").alias("y")), "b")
         with_both = with_b.join(sets.df.select(F.col("doc_id").alias("a"), F.col("set_").alias("x")), "a")
@@ -163,16 +166,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     written: list[Written] = []
     first = Written(verified(stars.df), "links")
     groups = components(first.df)
-    grouped = members.join(groups, members.node == groups.node, "left").select(members.node, "n", "band", F.coalesce("component", members.node).alias("component"))
+    grouped = members.join(groups, members.node == groups.node, "left").select(members.node, "set_key", "n", "band", F.coalesce("component", members.node).alias("component"))
     mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("band")
-    apart = Written(grouped.join(mixed, "band"), "apart")
-    x, y = apart.df.alias("x"), apart.df.alias("y")
-    fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n)")
-    cross = x.join(y, F.expr("x.band = y.band and x.component < y.component") & fits)
-    pairs = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars.df, ["a", "b"], "left_anti")
-    more = Written(verified(Written(pairs, "cross").df), "links")
+    apart = Written(grouped.join(mixed, "band").select("set_key", "node", "n", "component").distinct(), "apart")
+
+    def listed(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = list(shingle_sets(part.column("text"), shingle))
+                keys = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                lists = pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(keys, pa.binary()), lists], names=["node", "set_key", "tokens"])
+
+    own = source.join(apart.df.select(F.col("node").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi").mapInArrow(listed, "node long, set_key binary, tokens array<bigint>")
+    tokens = Written(own.join(apart.df, ["node", "set_key"]).groupBy("set_key").agg(*[F.first(c).alias(c) for c in ("node", "n", "component", "tokens")]).select("set_key", "node", "n", "component", F.explode("tokens").alias("token")), "tokens")
+    shared = tokens.df.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least")).filter("df > 1")
+    seen = tokens.df.join(shared, "token")
+    per_set = Window.partitionBy("set_key")
+    # A partner shares at least ceil(n * threshold) shingles, so one of the rarest n - ceil(n * threshold) + 1; those that no
+    # other set has come first.
+    rank = F.row_number().over(per_set.orderBy("df", "token")) + F.col("n") - F.count("*").over(per_set)
+    # Two sets whose first common shingle has these ranks have at most that and the smaller rest in common.
+    reach = f"(1 + n - rank) * {num + den} >= {num} * (n + least)"
+    prefix = Written(seen.withColumn("rank", rank).filter(F.expr(f"rank <= n - ceil(n * {num} / {den}) + 1 and low < high and {reach}")).select("token", "node", "n", "component", "rank"), "prefix")
+    x, y = prefix.df.alias("x"), prefix.df.alias("y")
+    fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and (1 + least(x.n - x.rank, y.n - y.rank)) * {num + den} >= {num} * (x.n + y.n)")
+    cross = x.join(y, F.expr("x.token = y.token and x.component < y.component") & fits)
+    pairs = Written(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars.df, ["a", "b"], "left_anti"), "cross")
+    more = Written(verified(pairs.df), "links")
     links = components(first.df.union(more.df))
-    for table in written:
+    for table in (*written, banded, stars, apart, tokens, prefix, pairs, first, more):
         table.drop()
     by_set = classes.select("set_key", "node").join(links, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_"))
     plain = signed.df.select("doc_id", "n_shingles", "set_key")

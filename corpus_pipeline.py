@@ -26,7 +26,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near duplicates."""
     judged = Written(near_dedup.near_duplicates(docs), "groups").df
-    kept = docs.join(judged.filter("not kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    kept = docs.join(judged.filter("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
     twice = Written(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice").df
     if twice.isEmpty():
         return kept

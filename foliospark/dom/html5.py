@@ -516,7 +516,7 @@ class _Builder:
 
     def end(self, tag: str) -> None:
         if not self.open or self.body is None:
-            if tag == "br" or (tag == "p" and self.html is not None):
+            if tag == "br":
                 self.need_body()
             elif tag == "head" and self.head in self.open:
                 self.open = [self.html]

@@ -13,8 +13,11 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import os
+import re
 import unicodedata
 import zlib
+from array import array
 from collections import Counter
 
 import numpy as np
@@ -28,8 +31,8 @@ from foliospark.llm.shared import Written, arrow_rows, slices, strings
 CAPACITY, END = 4096, 1
 #: Rows of one rank group (length, salt) at most, about.
 RANKED = 1 << 20
-#: Pretokens whose ids a Python worker keeps at once.
-REMEMBERED = 1 << 18
+#: Chunks of text whose ids a Python worker keeps in each of two generations; some 100 MB at most.
+REMEMBERED = 400_000
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -40,50 +43,59 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 class Encoder:
     """Ids as little-endian 32-bit bytes. Texts are cut at spaces, which no token of this vocabulary family crosses, and
-    the ids of each distinct chunk are kept; texts on which cutting or lower-casing could differ go to the library whole."""
+    the ids of chunks and of the words in them are remembered, two generations of REMEMBERED; texts on which cutting or
+    lower-casing could differ go to the library whole."""
 
     def __init__(self, path: str):
         import regex
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.full = Tokenizer.from_file(path)
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.odd = regex.compile("[\x1c-\x1fΣ]|<\\|(?:start|end)oftext\\|>")
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.control = re.compile("[\x1c-\x1f]")
+        self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.full.encode_batch(texts, add_special_tokens=False)]
+        return [array("I", x.ids).tobytes() for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, missing: set[str]) -> None:
-        cut = {c: self.pieces.findall(c) for c in missing}
-        new = list({w for ws in cut.values() for w in ws} - self.words.keys())
-        self.words.update(zip(new, self._whole(new), strict=True))
-        for c, ws in cut.items():
-            self.chunks[c] = b"".join([self.words[w] for w in ws])
+        known, before = self.known, self.before
+        words, cut = set(), {}
+        for c in missing:
+            if c in before:
+                known[c] = before[c]
+            elif c.isalpha():  # letters only: a word of its own
+                words.add(c)
+            else:
+                cut[c] = own = [c[:-1], c[-1]] if c[-1:] in (".", ",") and c[:-1].isalpha() else self.pieces.findall(c)
+                words.update(own)
+        new = [w for w in words if w not in known]
+        known.update(zip(new, self._whole(new), strict=True))
+        for c, own in cut.items():
+            known[c] = b"".join([known[w] for w in own])
+
+    def _simple(self, text: str, low: str) -> bool:
+        if not text.isascii() and ("Σ" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
+            return False
+        return "<|" not in text and not self.control.search(text)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > REMEMBERED or len(self.words) > REMEMBERED:
-            self.chunks, self.words = {}, {}
-        out: list[bytes | None] = [None] * len(texts)
-        split: list[tuple[int, list[str]]] = []
-        for i, text in enumerate(texts):
-            low = text.lower()
-            if text.isascii() or (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low)):
-                if not self.odd.search(text):
-                    split.append((i, low.replace("\n", " ").split(" ")))
-                    continue
-            out[i] = self._whole([text])[0]
-        known = self.chunks
+        if len(self.known) > REMEMBERED:
+            self.known, self.before = {}, self.known
+        known = self.known
+        split: list[list[str] | None] = []
         missing: set[str] = set()
-        for _, parts in split:
-            missing.update(parts)
-        missing -= known.keys()
+        for text in texts:
+            low = text.lower()
+            parts = low.replace("\n", " ").split(" ") if self._simple(text, low) else None
+            split.append(parts)
+            if parts:
+                missing.update(set(parts).difference(known))
         if missing:
             self._learn(missing)
-        for i, parts in split:
-            out[i] = b"".join([known[c] for c in parts])
-        return out
+        return [self._whole([text])[0] if parts is None else b"".join([known[c] for c in parts]) for text, parts in zip(texts, split, strict=True)]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64()), ("ids", pa.binary())])

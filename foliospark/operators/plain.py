@@ -19,10 +19,8 @@ def normalize(s: str) -> str:
 
 def lines(s: str) -> list[str]:
     """Without line ends; a final one opens no line, CRLF counts as one."""
-    out = s.split("\n")
-    if out[-1] == "":
-        out.pop()
-    return [x.removesuffix("\r") for x in out]
+    *ended, last = s.split("\n")
+    return [x.removesuffix("\r") for x in ended] + ([last] if last else [])
 
 
 def collapse_blanks(s: str) -> str:

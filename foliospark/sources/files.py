@@ -61,5 +61,5 @@ def one_per_id(files: DataFrame, force: bool = False) -> DataFrame:
 
 def markdown(spark: SparkSession, paths: list[str]) -> DataFrame:
     """book, markdown of Markdown files."""
-    found = spark.read.option("wholetext", "true").text(paths).select(F.input_file_name().alias("path"), F.col("value").alias("markdown"))
+    found = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("markdown"))
     return found.select(file_stem("path").alias("book"), "markdown")

@@ -334,16 +334,21 @@ def depth_guard(spark, sf_dir):
 # ePub, chapters, split
 
 
-@F.arrow_udf("binary")
-def _zipped(entries: pa.Array) -> pa.Array:
-    out = []
-    for own in entries.to_pylist():
-        buffer = io.BytesIO()
-        with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
-            for e in own:
-                z.writestr(e["name"], e["text"])
-        out.append(buffer.getvalue())
-    return pa.array(out, pa.binary())
+def _archive(entries: list[dict]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+        for e in entries:
+            z.writestr(e["name"], e["text"])
+    return buffer.getvalue()
+
+
+def _zipped(entries):
+    # Made here and not at import: a type's name is parsed by the JVM, which needs a session.
+    @F.arrow_udf("binary")
+    def run(column: pa.Array) -> pa.Array:
+        return pa.array([_archive(own) for own in column.to_pylist()], pa.binary())
+
+    return run(entries)
 
 
 _CONTAINER = '<container><rootfiles><rootfile full-path="O/c.opf"/></rootfiles></container>'

@@ -3,7 +3,7 @@
 Words are runs of digits, letters and everything above 0x7F, lower-cased (A-Z). All rolling three-word hashes of every
 text are joined to the places of the templates' three-word hashes. A hit votes for its diagonal, the difference of its
 places in the text and the template: on one diagonal lie copies without insertions. Votes are counted by (document,
-template, diagonal), neighbouring diagonals (up to BAND apart, and places up to a template's length apart) merge, and the
+template, diagonal), neighbouring diagonals (up to BAND words inserted or left out at once) merge, and the
 span is verified: the share of the template's words that its distinct hits cover must reach COVERED. A template of fewer
 than three words isn't allowed.
 
@@ -26,7 +26,7 @@ from foliospark.llm.shared import arrow_rows, slices
 from foliospark.llm.textcore import ALNUM, Words, rolling
 
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-K, BAND, COVERED, MOST = 3, 2, 0.8, 100_000
+K, BAND, COVERED, MOST = 3, 4, 0.8, 100_000
 TEMPLATES = [
     ("apache-2.0", "licensed under the apache license version 2.0"),
     ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),

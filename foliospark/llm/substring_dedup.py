@@ -68,8 +68,9 @@ class _Windows:
         reach = k - anchor
         names = np.zeros(n + 2 * reach, U64)
         names[self.at + reach] = self.named[self.at]
-        most = ~sliding_min(~names, reach + 1)
-        self.places = rungs[anchor][: len(most)][(most == rungs[anchor][: len(most)]) & (most > 0)]
+        most = (~sliding_min(~names, reach + 1))[: n + reach if n else 0]
+        own = rungs[anchor][: len(most)]
+        self.places = own[(most == own) & (most > 0)]
 
     def repeated_here(self, x: np.ndarray) -> np.ndarray:
         values, counts = np.unique(x, return_counts=True)

@@ -31,71 +31,101 @@ class SplitConfig:
     pad: int = 2
 
 
-def _site(domain: str) -> list[str]:
-    """A site's address as pages write it, and as saved file names do."""
-    return [domain, domain.replace(".", "-")]
-
-
-def _profile(body: str, cruft: str, any_of=(), **more) -> Profile:
-    # What every publisher's pages carry is added once.
-    plain = [c.strip() for c in cruft.split(";") if c.strip()]
-    return Profile(body_selectors=tuple(s.strip() for s in body.split(";") if s.strip()), cruft_selectors=(*plain, "style", "nav", "script"), detect_any=tuple(any_of), **more)
-
+# The markers and selectors by which pages of these publishers are known and cut.
 
 FALLBACK = Profile(
     body_selectors=("article", "main", "div.article-body", "div.content"),
-    cruft_selectors=("aside", "div.sidebar", "header", "nav", "footer", "style", "script"),
+    cruft_selectors=("nav", "footer", "header", "script", "style", "div.sidebar", "aside"),
 )
 
 PUBLISHERS: dict[str, Profile] = {
-    "acs": _profile(
-        "div.article_content-left; div.article_content; div.NLM_sec_level_1",
-        "div.support-info; div.articleMetrics; div.article-tools; div.article_citation; div.article_header",
-        _site("pubs.acs.org"), ref_selector="div.article_references"),
-    "cambridge": _profile(
-        "div.content-container; div.scrollspy-content; div.article-wrapper",
-        "div.modal; div.table-of-content-mobile; div.cited-by-wrapper; div.action-bar",
-        _site("cambridge.org"), ref_selector="div#references-list", no_content_marker="no-content", content_marker="scrollspy-content"),
-    "elsevier": _profile(
-        "div#body; div.Body; section.Body; div.article-body",
-        "div.Appendices; div.publication-history; div.author-info; div.RelatedContent; div.sidebar; div.article-tools",
-        [*_site("sciencedirect.com"), "sd-article"], ref_selector="div.References"),
-    "frontiers": _profile(
-        "div.ArticleContent; div.JournalFullText; div.article-section; article.article-text",
-        "button.ArticleReference; div.notes-section; div.article-footer; div.References; div.article-header; div.AbstractSummary",
-        _site("frontiersin.org")),
-    "ieee": _profile(
-        "div#article-content; div.article-content; section.article-content",
-        "div.metrics-section; div.article-action-toolbar; div.document-footer; div.document-header; div.stats-document-abstract-publishedIn",
-        _site("ieeexplore.ieee.org"), ref_selector="div.reference-container"),
-    "mdpi": _profile(
-        "div.html-body; div#html-article-content; article.article",
-        "section.SupplementaryMaterial; div.article-metrics; div.art-supplementary; div.article-icons",
-        _site("mdpi.com"), ref_selector="section.html-references"),
-    "oup-book": _profile(
-        "div.content-inner-wrap; div.widget-items--chapters",
-        "div.widget; div.info-widget-wrap; div.global-footer; div.ad-banner",
-        _site("academic.oup.com"), detect=("chapter-title",)),
-    "oup-journal": _profile(
-        "div.widget-ArticleFulltext; div.article-body",
-        "div.section-jump-link; div.article-info-wrap; div.global-footer; div.ad-banner",
-        [*_site("academic.oup.com"), "widget-ArticleFulltext"], ref_selector="div.ref-list"),
-    "plos": _profile(
-        "div#artText; div.article-text", "div.fig-btns-container; ul.article-tabs", [*_site("plos.org"), "artText"]),
-    "sage-html": Profile(detect_any=tuple(_site("sagepub.com")), abstract_only=True),
-    "springer": _profile(
-        "div.c-article-body; main.c-chapter-body; article#main",
-        'div.c-article-identifiers; div.c-article-author-institutional-author; div#MagazineFulltextArticleBodySuffix; section[data-title="Inline Recommendations"];'
-        'div[data-test="cobranding-download"]; header.c-header; header.eds-c-header; footer; aside.c-article-sidebar; div.c-article-recommendations',
-        ["c-article-title", "c-article-body"], ref_selector='section[data-title="References"]'),
-    "tandf": _profile(
-        "div.hlFld-Fulltext; article.article",
-        "div.articleMeta; div.pb-dropzone; div.widget; div.articleTools; div.articleMetricsContainer",
-        [*_site("tandfonline.com"), "hlFld-Abstract", "hlFld-Fulltext"], ref_selector="div#references-Section1", fulltext_required="hlFld-Fulltext"),
-    "wiley-html": _profile(
-        'div#article__content; div.article__body; article[lang="en"]',
-        "div.articleAdvert; div.coolBar; div.article-tools__block; div.mange-cookies-btn; div.banner-wrapper; div.main-footer; div.advert",
-        [*_site("onlinelibrary.wiley.com"), "article__content"], ref_selector="section.article-section__references"),
+    "springer": Profile(
+        detect_any=("c-article-body", "c-article-title"),
+        body_selectors=("div.c-article-body", "main.c-chapter-body", "article#main"),
+        cruft_selectors=(
+            "div.c-article-recommendations", "aside.c-article-sidebar", "nav", "footer", "header.eds-c-header", "header.c-header",
+            'div[data-test="cobranding-download"]', 'section[data-title="Inline Recommendations"]', "div#MagazineFulltextArticleBodySuffix",
+            "div.c-article-author-institutional-author", "script", "style", "div.c-article-identifiers",
+        ),
+        ref_selector='section[data-title="References"]',
+    ),
+    "wiley-html": Profile(
+        detect_any=("article__content", "onlinelibrary.wiley.com", "onlinelibrary-wiley-com"),
+        body_selectors=("div#article__content", "div.article__body", 'article[lang="en"]'),
+        cruft_selectors=(
+            "div.advert", "div.main-footer", "div.banner-wrapper", "nav", "div.mange-cookies-btn", "div.article-tools__block", "div.coolBar",
+            "div.articleAdvert", "script", "style",
+        ),
+        ref_selector="section.article-section__references",
+    ),
+    "tandf": Profile(
+        detect_any=("hlFld-Fulltext", "hlFld-Abstract", "tandfonline.com", "tandfonline-com"),
+        fulltext_required="hlFld-Fulltext",
+        body_selectors=("div.hlFld-Fulltext", "article.article"),
+        cruft_selectors=("div.articleMetricsContainer", "div.articleTools", "div.widget", "div.pb-dropzone", "div.articleMeta", "script", "style", "nav"),
+        ref_selector="div#references-Section1",
+    ),
+    "oup-book": Profile(
+        detect=("chapter-title",),
+        detect_any=("academic.oup.com", "academic-oup-com"),
+        body_selectors=("div.content-inner-wrap", "div.widget-items--chapters"),
+        cruft_selectors=("div.ad-banner", "div.global-footer", "nav", "div.info-widget-wrap", "div.widget", "script", "style"),
+    ),
+    "oup-journal": Profile(
+        detect_any=("widget-ArticleFulltext", "academic.oup.com", "academic-oup-com"),
+        body_selectors=("div.widget-ArticleFulltext", "div.article-body"),
+        cruft_selectors=("div.ad-banner", "div.global-footer", "nav", "div.article-info-wrap", "div.section-jump-link", "script", "style"),
+        ref_selector="div.ref-list",
+    ),
+    "cambridge": Profile(
+        detect_any=("cambridge.org", "cambridge-org"),
+        no_content_marker="no-content",
+        content_marker="scrollspy-content",
+        body_selectors=("div.content-container", "div.scrollspy-content", "div.article-wrapper"),
+        cruft_selectors=("div.cited-by-wrapper", "div.modal", "div.action-bar", "div.table-of-content-mobile", "script", "style", "nav"),
+        ref_selector="div#references-list",
+    ),
+    "plos": Profile(
+        detect_any=("plos.org", "plos-org", "artText"),
+        body_selectors=("div#artText", "div.article-text"),
+        cruft_selectors=("ul.article-tabs", "div.fig-btns-container", "script", "style", "nav"),
+    ),
+    "sage-html": Profile(detect_any=("sagepub.com", "sagepub-com"), abstract_only=True),
+    "acs": Profile(
+        detect_any=("pubs.acs.org", "pubs-acs-org"),
+        body_selectors=("div.article_content-left", "div.article_content", "div.NLM_sec_level_1"),
+        cruft_selectors=("div.article_header", "div.article_citation", "div.articleMetrics", "div.support-info", "div.article-tools", "script", "style", "nav"),
+        ref_selector="div.article_references",
+    ),
+    "elsevier": Profile(
+        detect_any=("sciencedirect.com", "sciencedirect-com", "sd-article"),
+        body_selectors=("div#body", "div.Body", "section.Body", "div.article-body"),
+        cruft_selectors=("div.sidebar", "div.RelatedContent", "div.Appendices", "div.article-tools", "div.author-info", "div.publication-history", "script", "style", "nav"),
+        ref_selector="div.References",
+    ),
+    "frontiers": Profile(
+        detect_any=("frontiersin.org", "frontiersin-org"),
+        body_selectors=("div.ArticleContent", "div.JournalFullText", "div.article-section", "article.article-text"),
+        cruft_selectors=(
+            "div.References", "div.AbstractSummary", "div.article-header", "div.article-footer", "div.notes-section", "button.ArticleReference",
+            "script", "style", "nav",
+        ),
+    ),
+    "ieee": Profile(
+        detect_any=("ieeexplore.ieee.org", "ieeexplore-ieee-org"),
+        body_selectors=("div#article-content", "div.article-content", "section.article-content"),
+        cruft_selectors=(
+            "div.stats-document-abstract-publishedIn", "div.document-header", "div.document-footer", "div.article-action-toolbar", "div.metrics-section",
+            "script", "style", "nav",
+        ),
+        ref_selector="div.reference-container",
+    ),
+    "mdpi": Profile(
+        detect_any=("mdpi.com", "mdpi-com"),
+        body_selectors=("div.html-body", "div#html-article-content", "article.article"),
+        cruft_selectors=("div.article-icons", "div.art-supplementary", "div.article-metrics", "section.SupplementaryMaterial", "script", "style", "nav"),
+        ref_selector="section.html-references",
+    ),
 }
 
 

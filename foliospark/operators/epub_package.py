@@ -14,7 +14,8 @@ from foliospark.operators.plain import collapse_blanks, junk_title, normalize, t
 
 MAX_ENTRY = 64 << 20
 NCX = "application/x-dtbncx+xml"
-STRIP = ["style", "script", "nav", "div#keywords", "div.article-notes", "div.authors", "section#backmatter", "section#frontmatter"]
+#: What is cut from ePub pages.
+STRIP = ["section#frontmatter", "section#backmatter", "nav", "div.authors", "div.article-notes", "div#keywords", "script", "style"]
 
 
 def read_entry(archive: zipfile.ZipFile, name: str, limit: int = MAX_ENTRY) -> str:

@@ -40,6 +40,6 @@ def test_quality_ranks_held_out_documents(spark):
     got = QUERIES["op6_quality_classifier"](spark, str(folder)).toPandas()
     labels = duckdb.sql(f"select doc_id, quality from '{folder}/labels.parquet'").df()
     assert len(got) == duckdb.sql(f"select count(*) from '{folder}/documents.parquet'").fetchall()[0][0] and got.score.between(0, 1).all()
-    held = got[got.held_out].merge(labels, "doc_id")
+    held = got[got.held_out].merge(labels, on="doc_id")
     good, bad = held[held.quality == 1], held[held.quality == 0]
     assert len(bad) >= 10 and (good.predicted == 1).mean() > 0.97 and (bad.predicted == 0).mean() > 0.9

@@ -6,7 +6,8 @@ Vectors are cut into PARTS slices; a slice of a set of rows is a list of local (
    best of all these is a safe cutoff: k rows reach it, so no row below it can be an answer.
 2. The cutoff is broadcast. A row whose full score reaches it has a local score of at least cutoff / PARTS in some
    slice; tasks keep just these rows.
-3. The rows kept are scored in full, those that reach the cutoff are returned, and the k best stay.
+3. The rows kept are scored in full; of those that reach the cutoff a task returns the k best for each query (ties may
+   be many more), and of these the k best stay.
 
 Queries come in blocks of at most BLOCK_BYTES, so what is broadcast is bounded; every block meets all rows, without a
 join. Components become floor(256 * x), sums are exact: in double precision below 2 ** 53, in 64-bit integers above.
@@ -124,17 +125,32 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) ->
 
         def collect(batches):
             block, cutoff = queries.value, cutoffs.value
+            best = np.full((len(block.ids), k), floor)
+            who = np.full((len(block.ids), k), np.iinfo(np.int64).max)
             for batch in batches:
                 for dim, own, rows in _by_dim(batch):
                     if dim != d:
                         continue
+                    order = np.argsort(own, kind="stable")
+                    own, rows = own[order], rows[order]
                     for at, parts in block.scores(rows):
                         # at least cutoff / PARTS, in integers: rounded down, which only keeps more
                         enough = np.any([p >= (cutoff[at] // PARTS)[:, None] for p in parts], axis=0)
-                        q, r = np.nonzero(enough)
-                        total = sum(p[q, r] for p in parts)
-                        real = (total >= cutoff[at][q]) & (own[r] != block.ids[at][q])
-                        yield _scored(block.ids[at][q[real]], own[r[real]], total[real])
+                        total = np.where(enough, sum(parts), floor)
+                        real = (total >= np.maximum(cutoff[at], best[at, -1])[:, None]) & enough & (own != block.ids[at][:, None])
+                        hot = np.flatnonzero(real.any(1))
+                        if not len(hot):
+                            continue
+                        # Of a task's entries for a query no more than its k best can be answers, however many tie.
+                        total = np.where(real[hot], total[hot], floor)
+                        top = np.argsort(~total, axis=1, kind="stable")[:, :k]
+                        new = np.take_along_axis(total, top, 1)
+                        s = np.concatenate([best[at[hot]], new], axis=1)
+                        v = np.concatenate([who[at[hot]], np.where(new > floor, own[top], np.iinfo(np.int64).max)], axis=1)
+                        order = np.lexsort((v, ~s), axis=1)[:, :k]
+                        best[at[hot]], who[at[hot]] = np.take_along_axis(s, order, 1), np.take_along_axis(v, order, 1)
+            q, r = np.nonzero(best > floor)
+            yield _scored(block.ids[q], who[q, r], best[q, r])
 
         entries = table.mapInArrow(collect, "query_id long, vec_id long, score long")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

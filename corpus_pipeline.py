@@ -16,11 +16,20 @@ from foliospark.llm import decontamination, near_dedup, packing, quality, substr
 from foliospark.llm.shared import Written
 
 
+def _beside_text(docs: DataFrame) -> DataFrame:
+    """`text`, and all other columns in one; so the operators' own columns clash with none, and the text goes along once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("own_columns_"), "text")
+
+
+def _own_columns(docs: DataFrame, **new) -> list:
+    return [(new[c] if c in new else F.col("text") if c == "text" else F.col(f"own_columns_.`{c}`")).alias(c) for c in docs.columns]
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier, fitted on the labelled ones among `docs`, predicts to be of low quality."""
     weights = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.score(docs.withColumn("own_columns_", F.struct(*[F.col(f"`{c}`") for c in docs.columns])), weights)
-    return judged.filter("predicted = 1").select("own_columns_.*")
+    return quality.score(_beside_text(docs), weights).filter("predicted = 1").select(_own_columns(docs))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,16 +45,18 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages out of the texts; n_chars follows."""
-    cut = substring_dedup.remove_repeats(docs.withColumn("own_columns_", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("own_columns_", "text"))
-    new = {"text": F.col("dedup_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("dedup_text").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("own_columns_.n_chars")) if "n_chars" in docs.columns else None}
-    return cut.select(*[new[c].alias(c) if c in new else F.col(f"own_columns_.`{c}`").alias(c) for c in docs.columns])
+    cut = substring_dedup.remove_repeats(_beside_text(docs))
+    new = {"text": F.col("dedup_text")}
+    if "n_chars" in docs.columns:
+        length = F.length("dedup_text").cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("n_removed") > 0, length).otherwise(F.col("own_columns_.n_chars"))
+    return cut.select(_own_columns(docs, **new))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a passage of the benchmark."""
-    own = docs.withColumn("own_columns_", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select("own_columns_", "text")
-    found = decontamination.find_leaks(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return found.filter("size(leaks) = 0").select("own_columns_.*")
+    found = decontamination.find_leaks(_beside_text(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter("size(leaks) = 0").select(_own_columns(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ Other columns of the input are not read.
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from array import array
@@ -27,12 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.llm.shared import Written, arrow_rows, slices, strings
+from foliospark.llm.textcore import Words
 
 CAPACITY, END = 4096, 1
 #: Rows of one rank group (length, salt) at most, about.
 RANKED = 1 << 20
 #: Chunks of text whose ids a Python worker keeps in each of two generations; some 100 MB at most.
 REMEMBERED = 400_000
+#: Texts are cut at spaces and newlines.
+NOT_CUT = np.ones(256, bool)
+NOT_CUT[[10, 32]] = False
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -42,8 +45,9 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Ids as little-endian 32-bit bytes. Texts are cut at spaces, which no token of this vocabulary family crosses, and
-    the ids of chunks and of the words in them are remembered, two generations of REMEMBERED; texts on which cutting or
+    """Ids as little-endian 32-bit bytes. Texts are cut at spaces, which no token of this vocabulary family crosses; of the
+    chunks of a slice (told apart by 64-bit hashes) each distinct one is looked up, and its ids are put where it stands. The
+    ids of chunks and of the words in them are remembered, two generations of REMEMBERED; texts on which cutting or
     lower-casing could differ go to the library whole."""
 
     def __init__(self, path: str):
@@ -53,7 +57,6 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.full = Tokenizer.from_file(path)
         self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.control = re.compile("[\x1c-\x1f]")
         self.known: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}
 
@@ -76,26 +79,44 @@ class Encoder:
         for c, own in cut.items():
             known[c] = b"".join([known[w] for w in own])
 
-    def _simple(self, text: str, low: str) -> bool:
-        if not text.isascii() and ("Σ" in text or not (unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", low))):
-            return False
-        return "<|" not in text and not self.control.search(text)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def _simple(self, w: Words, texts: pa.Array) -> np.ndarray:
+        """Which texts may be cut: no special token's opening, no control character that only some call white space, and
+        beyond ASCII no final sigma and nothing that normalising changes."""
+        data = w.data
+
+        def holding(mask: np.ndarray) -> np.ndarray:
+            sums = np.concatenate([[0], np.cumsum(mask)])[w.offs]
+            return sums[1:] > sums[:-1]
+
+        odd = (data >= 0x1C) & (data <= 0x1F)
+        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        simple = ~holding(odd)
+        for d in np.flatnonzero(simple & holding(data >= 0x80)):
+            text = texts[int(d)].as_py()
+            simple[d] = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
+        return simple
+
+    def __call__(self, column) -> list[bytes]:
+        texts = strings(column if isinstance(column, (pa.Array, pa.ChunkedArray)) else pa.array(column, pa.large_string()))
+        w = Words(texts, NOT_CUT)
+        simple = self._simple(w, texts)
+        used = np.flatnonzero(np.repeat(simple, w.counts))
+        _, first, which = np.unique(w.hashes[used], return_index=True, return_inverse=True)
+        at = used[first]
+        chunks = [w.data[a:b].tobytes().decode().lower() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self.known, self.before = {}, self.known
-        known = self.known
-        split: list[list[str] | None] = []
-        missing: set[str] = set()
-        for text in texts:
-            low = text.lower()
-            parts = low.replace("\n", " ").split(" ") if self._simple(text, low) else None
-            split.append(parts)
-            if parts:
-                missing.update(set(parts).difference(known))
-        if missing:
+        if missing := set(chunks).difference(self.known):
             self._learn(missing)
-        return [self._whole([text])[0] if parts is None else b"".join([known[c] for c in parts]) for text, parts in zip(texts, split, strict=True)]
+        ids = [self.known[c] for c in chunks]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.array([len(x) // 4 for x in ids], np.int64)
+        begins = np.cumsum(sizes) - sizes
+        per = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(per)])
+        raw = flat[np.repeat(begins[which] - ends[:-1], per) + np.arange(ends[-1])].tobytes()
+        bounds = (4 * ends[np.concatenate([[0], np.cumsum(np.where(simple, w.counts, 0))])]).tolist()
+        return [raw[a:b] if plain else self._whole([texts[d].as_py()])[0] for d, (a, b, plain) in enumerate(zip(bounds[:-1], bounds[1:], simple.tolist(), strict=True))]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64()), ("ids", pa.binary())])
@@ -112,7 +133,7 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bo
             for part in slices(batch, "text"):
                 ids = part.column("doc_id").to_pylist()
                 rows = []
-                for doc, raw in zip(ids, encode(strings(part.column("text")).to_pylist()), strict=True):
+                for doc, raw in zip(ids, encode(part.column("text")), strict=True):
                     raw += end
                     for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                         own = raw[at : at + 4 * capacity]

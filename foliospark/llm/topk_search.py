@@ -11,15 +11,19 @@ Vectors are cut into PARTS slices; a slice of a set of rows is a list of local (
 
 Queries come in blocks of at most BLOCK_BYTES, so what is broadcast is bounded; every block meets all rows, without a
 join. Components become floor(256 * x), sums are exact: in double precision below 2 ** 53, in 64-bit integers above.
+Rows so large that a product of two might not fit a long are expected to be few. They meet all queries, and the queries
+among them all rows, in Python's integers; the phases above are for the others.
 
-Defined cases: vectors that are null, empty or hold null or non-finite components, or components of 2 ** 18 or more
-(their products might not fit a long), and rows without id, take no part; rows that share an id count once, with the
-smallest vector; vectors meet vectors of their own length only; ties go to the smaller id; fewer than k candidates give
-all of them; an empty table gives an empty result. Other columns are not read.
+Defined cases: vectors that are null, empty or hold null or non-finite components, and rows without id, take no part;
+rows that share an id count once, with the smallest vector; vectors meet vectors of their own length only; ties go to the
+smaller id; fewer than k candidates give all of them; an answer whose score doesn't fit a long raises an error, as in the
+SQL twin; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,15 +34,26 @@ from foliospark.llm.shared import Written, arrow_rows
 
 PARTS = 2
 BLOCK_BYTES = 8 << 20
-LIMIT = 1 << 26
+LIMIT = 1 << 62
 
 
 def quantised(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, dim) of the rows that take part."""
+    """(vec_id, v, dim, large) of the rows that take part; `v` of a large row is as it came, for _integers()."""
     whole = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
-    good = "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(256 * x) < 67108864 - 1)"
+    good = "vec_id is not null and size(e) > 0 and forall(e, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
     one = whole.filter(good).groupBy("vec_id").agg(F.min("e").alias("e"))
-    return one.select("vec_id", F.expr("transform(e, x -> cast(floor(256 * x) as double))").alias("v"), F.size("e").alias("dim"))
+    # For two rows that aren't large, dim times the product of their largest components is below LIMIT.
+    most = one.withColumn("large", F.expr(f"(array_max(transform(e, x -> abs(256 * x))) + 1) * sqrt(size(e)) >= {math.isqrt(LIMIT)}D"))
+    return most.select("vec_id", F.expr("if(large, e, transform(e, x -> cast(floor(256 * x) as double)))").alias("v"), F.size("e").alias("dim"), "large")
+
+
+def _integers(rows: np.ndarray, large: np.ndarray) -> np.ndarray:
+    """The components as Python's integers. 256 * x may be infinite, so a large x, which is whole, is multiplied as an integer."""
+    whole = lambda x: int(x) * 256 if abs(x) >= 2**53 else math.floor(256 * x)
+    out = np.empty(rows.shape, object)
+    for i, (row, raw) in enumerate(zip(rows.tolist(), large.tolist(), strict=True)):
+        out[i] = [whole(x) if raw else int(x) for x in row]
+    return out
 
 
 def _matrix(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -82,11 +97,85 @@ def _scored(q, v, s) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(x, np.int64)) for x in (q, v, s)], schema=_SCORED)
 
 
+_EXACT = "query_id long, vec_id long, score string"
+
+
+def _with_large(table: DataFrame, is_query: str, k: int) -> DataFrame:
+    """query_id, vec_id, score (digits): of the pairs with a large row, at least the k best of each query."""
+    context = table.sparkSession.sparkContext
+    asks = table.withColumn("asks", F.coalesce(F.expr(is_query), F.lit(False)))
+    results: list[DataFrame] = []
+
+    def run(ids: list[int], matrix: list[list[float]], asking: list[bool]) -> None:
+        d = len(matrix[0])
+        sent = context.broadcast((np.array(ids, np.int64), np.array(matrix), np.array(asking)))  # BLOCK_BYTES at most
+
+        def meet(batches):
+            large_ids, large_rows, queries = sent.value
+            block = _integers(large_rows, np.ones(len(large_ids), bool))
+            best: dict[int, list[tuple[int, int]]] = {}  # of the block's queries
+            for batch in batches:
+                pick = np.flatnonzero(batch.column("dim").to_numpy() == d)
+                for at in range(0, len(pick), 256):
+                    part = batch.take(pa.array(pick[at : at + 256]))
+                    own = part.column("vec_id").to_numpy()
+                    raw, ask = (part.column(c).to_numpy(zero_copy_only=False) for c in ("large", "asks"))
+                    asked, others = np.flatnonzero(ask), np.flatnonzero(~raw)
+                    if not len(asked) and not (len(others) and queries.any()):
+                        continue
+                    rows = _integers(_matrix(part)[1].reshape(-1, d), raw)
+                    said = []
+                    for i in asked:
+                        listed = sorted((-s, v) for s, v in zip(block @ rows[i], large_ids.tolist(), strict=True) if v != own[i])
+                        said += [(int(own[i]), v, str(-s)) for s, v in listed[:k]]
+                    for j in np.flatnonzero(queries) if len(others) else ():
+                        q = int(large_ids[j])
+                        new = [(-s, v) for s, v in zip(rows[others] @ block[j], own[others].tolist(), strict=True) if v != q]
+                        best[j] = sorted(best.get(j, []) + new)[:k]
+                    yield _digits(said)
+            yield _digits([(int(large_ids[j]), v, str(-s)) for j, listed in best.items() for s, v in listed])
+
+        results.append(asks.select("vec_id", "v", "dim", "large", "asks").mapInArrow(meet, _EXACT))
+
+    held: dict[int, tuple[list, list, list]] = {}
+    for row in asks.filter("large").toLocalIterator():
+        ids, matrix, asking = held.setdefault(row["dim"], ([], [], []))
+        ids.append(row["vec_id"])
+        matrix.append(row["v"])
+        asking.append(row["asks"])
+        if len(ids) * row["dim"] * 8 >= BLOCK_BYTES:
+            run(*held.pop(row["dim"]))
+    for block in held.values():
+        run(*block)
+    out = results[0]
+    for more in results[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _digits(rows: list[tuple[int, int, str]]) -> pa.RecordBatch:
+    columns = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+
+
+def _ranked(table: pa.Table, k: int) -> pa.Table:
+    """The k best entries of one query, whose scores are digits of any length."""
+    query = table.column("query_id")[0].as_py()
+    best = sorted((-int(s), v) for s, v in zip(table.column("score").to_pylist(), table.column("vec_id").to_pylist(), strict=True))[:k]
+    for s, v in best:
+        if not -(2**63) <= -s < 2**63:
+            raise OverflowError(f"the score of query {query} and row {v}, {-s}, doesn't fit a long")
+    columns = ([query] * len(best), range(1, len(best) + 1), [v for _, v in best], [-s for s, _ in best])
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64())
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["query_id", "rank", "vec_id", "score"])
+
+
 def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of each row that is a query."""
     spark = vectors.sparkSession
     arrow_rows(spark)
-    table = Written(quantised(vectors), "vectors").df
+    whole = Written(quantised(vectors), "vectors").df
+    table = whole.filter("not large").drop("large")
     context = spark.sparkContext
     results: list[DataFrame] = []
 
@@ -165,12 +254,13 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 50 = 0", k: int = 5) ->
             run(*held.pop(row["dim"]))
     for ids, matrix in held.values():
         run(ids, matrix)
-    if not results:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    out = results[0]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long") if not results else results[0]
     for more in results[1:]:
         out = out.unionByName(more)
-    return out
+    if whole.filter("large").isEmpty():
+        return out
+    entries = out.select("query_id", "vec_id", F.col("score").cast("string")).unionByName(_with_large(whole, is_query, k))
+    return entries.groupBy("query_id").applyInArrow(lambda t: _ranked(t, k), "query_id long, rank int, vec_id long, score long")
 
 
 def op9_exact_top_k_search(spark, sf_dir: str) -> DataFrame:

@@ -370,3 +370,29 @@ def test_top_k(spark):
     ties = topk_search.search(spark.createDataFrame([(i, [1.0, 1.0]) for i in range(20)], "vec_id long, embedding array<double>"), "vec_id = 3").orderBy("rank").collect()
     assert [x.vec_id for x in ties] == [0, 1, 2, 4, 5]
     assert topk_search.search(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def exact_top_k(rows, asks, k=5):
+    whole = [(i, [int(x) * 256 if abs(x) >= 2**53 else int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in sorted({i for i, _ in whole if asks(i)}):
+        scored = sorted((-sum(a * b for a, b in zip(x, v, strict=True)), i) for j, x in whole if j == q for i, v in whole if i != q and len(v) == len(x))
+        want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])]
+    return want
+
+
+def test_top_k_keeps_every_finite_vector(spark):
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=8)]) for i in range(200)]
+    rows += [(205, [300000.0] + [0.5] * 7), (206, [1e9] * 8), (207, [-1e9] * 7 + [3.5]), (250, [3.2e6, -3.2e6, 0.25] + [0.0] * 5), (300, [2e7, -2e7] + [0.0] * 6), (208, [2.0**18] * 3), (350, [1.5] * 3)]
+    schema = "vec_id long, embedding array<double>"
+    got = topk_search.search(spark.createDataFrame(rows, schema).repartition(5))
+    want = exact_top_k(rows, lambda i: i % 50 == 0)
+    assert any(i == 205 for _, _, i, _ in want) and any(q == 250 and s > 2**60 for q, _, _, s in want)
+    assert sorted(tuple(x) for x in got.select("query_id", "rank", "vec_id", "score").collect()) == want
+    # Beyond what 256 * x may be in double precision: the rows are ranked, and don't raise where they aren't among the best.
+    far = [(0, [1.0, 0.0]), (1, [-1.7e308, 3.0]), (2, [3.0, 1.7e308]), (3, [2.0, 0.0]), (4, [2.5, 1.0])]
+    search = lambda k: topk_search.search(spark.createDataFrame(far, schema), "vec_id = 0", k).collect()
+    assert sorted(tuple(x) for x in search(3)) == exact_top_k(far, lambda i: i == 0, 3)
+    with pytest.raises(Exception, match="fit a long"):
+        search(4)

@@ -6,6 +6,9 @@ fingerprint is cut into eight 16-bit blocks; an item within RADIUS (31) bits of
 to 3 bits, as 8 * 4 > 31, so an index of all block values within 3 bits of each item's guarantees every item in the
 radius. Candidates are verified by the exact weighted Jaccard similarity of the shingles (0.8 or more).
 
+A document with fewer words than an item is its only window for that item. Its similarity is at most the part of its
+shingles that items of that size have; where this reaches the threshold, all of these items are verified exactly.
+
 Only windows that hold a shingle of an item of their size are fingerprinted: others have similarity 0. Items are
 handled in blocks of ITEMS, a pass over the documents each, so the index a worker holds is bounded, however large the
 benchmark. The documents aren't shuffled.
@@ -58,6 +61,9 @@ class Index:
         own = [(i, shingles[a : b - SHINGLE + 1]) for (i, _), a, b in zip(items, w.ptr[:-1], w.ptr[1:], strict=True) if b - a >= SHINGLE]
         self.ids = [i for i, _ in own]
         self.sizes = np.array([len(s) for _, s in own], np.int64)
+        self.of_size: dict[int, list[int]] = {}
+        for item, size in enumerate(self.sizes.tolist()):
+            self.of_size.setdefault(size, []).append(item)
         self.counts = [dict(zip(*(x.tolist() for x in np.unique(s, return_counts=True)), strict=True)) for _, s in own]
         pairs = np.unique(np.array([(s, len(x)) for _, x in own for s in x.tolist()], U64).reshape(-1, 2), axis=0)
         self.shingles, self.widths = pairs[:, 0], pairs[:, 1].astype(np.int64)
@@ -99,11 +105,18 @@ class Index:
                     by_size.setdefault(size, []).append(int(maybe[k] - starts))
             best: dict[int, tuple] = {}
             for size, places in by_size.items():
+                if size > len(own):  # the whole text is the window; no more than `places` of its shingles are an item's
+                    if len(places) / (len(own) + size - len(places)) >= THRESHOLD:
+                        for item in self.of_size[size]:
+                            s = self._similarity(own, item)
+                            if s >= THRESHOLD:
+                                best[item] = (s, 0, len(own) + SHINGLE - 1)
+                    continue
                 touched = np.zeros(len(own) + 1, np.int64)
                 for p in places:  # windows that hold the shingle at p
                     touched[max(0, p - size + 1)] += 1
                     touched[p + 1] -= 1
-                at = np.flatnonzero(np.cumsum(touched)[: max(0, len(own) - size + 1)])
+                at = np.flatnonzero(np.cumsum(touched)[: len(own) - size + 1])
                 for piece in np.array_split(at, len(at) // 4096 + 1):
                     if not len(piece):
                         continue

@@ -169,6 +169,23 @@ def test_decontamination(spark):
     assert said == [(-1, both), (1, both), (2, [(1, 0.926, 39, 30), (5, 0.926, 39, 30)]), (3, []), (4, []), (5, []), (6, [(2, 1.0, 20, 14)]), (6, [(2, 1.0, 20, 14)])]
 
 
+def test_documents_shorter_than_the_item(spark):
+    item, other = words_of(36, 60), words_of(20, 61)
+    items = [(1, " ".join(item)), (2, " ".join(other)), (3, " ".join(item[:-1] + ["else"]))]
+    texts = [item[:-1], item[1:], item[:30], item[2:-2], item[:29], other[:-3], other[:-4], item[:20] + ["x"] + item[21:35], item[:4], words_of(30, 62)]
+    rows = [(i, " ".join(t), "x") for i, t in enumerate(texts)]
+
+    def similar(a, b):
+        x, y = (collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for w in (a, b))
+        return sum((x & y).values()) / max(1, sum((x | y).values()))
+
+    want = {i: [(k, similar(t, w.split())) for k, w in items if similar(t, w.split()) >= 0.8] for i, t in enumerate(texts)}
+    assert want[0] == [(1, 31 / 32), (3, 31 / 32)] and want[2] and not want[4] and want[5] and not want[6]
+    got = decontamination.find_leaks(frame(spark, rows), frame(spark, items, "item_id long, text string")).collect()
+    assert {r.doc_id: [(h.item_id, h.similarity) for h in r.leaks] for r in got} == want
+    assert all((h.first_word, h.n_words) == (0, len(texts[r.doc_id])) for r in got for h in r.leaks)
+
+
 def test_hamming_blocks_find_every_print_in_the_radius():
     index = decontamination.Index([(i, " ".join(words_of(20, 200 + i))) for i in range(40)])
     r = np.random.default_rng(3)

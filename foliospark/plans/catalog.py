@@ -138,6 +138,14 @@ def byte_prefix(spark, sf_dir):
     return ascii_.select("doc_id", F.octet_length(X.byte_prefix("text", 64)).cast("long").alias("head_bytes"), F.octet_length("text").cast("long").alias("bytes"))
 
 
+@query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, strlen(t) AS n, left(t, 64) AS c FROM d),
+k AS (SELECT doc_id, n, left(c, CAST(list_max(list_filter(range(0, 65), lambda i: strlen(left(c, i)) <= 64)) AS BIGINT)) AS whole FROM h)
+SELECT doc_id, CASE WHEN strlen(whole) < least(n, 64) THEN whole || chr(65533) ELSE whole END AS head, CAST(n AS BIGINT) AS bytes FROM k""")
+def byte_prefix_all(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select("doc_id", X.byte_prefix("text", 64).alias("head"), F.octet_length("text").cast("long").alias("bytes"))
+
+
 @query(f"SELECT doc_id, {norm('text')} AS normalized FROM documents")
 def normalize_text(spark, sf_dir):
     return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.normalize_text("text").alias("normalized"))

@@ -311,6 +311,26 @@ def test_prefix_tree(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_long_chats_share_turns_at_every_depth(spark):
+    turn = lambda i, t: (i, ("user", "assistant")[i % 2], t)
+    common = [turn(i, f"t{i}") for i in range(100)]
+    chats = {c: common[:n] + [turn(i, f"c{c} {i}") for i in range(n, n + 5)] for c, n in enumerate([100, 100, 70, 100, 3, 99, 64, 63])}
+    chats |= {20: common, 21: common[:80], 22: common, 23: chats[0]}
+    chats |= {30 + c: [turn(0, f"t{c % 3}"), turn(1, f"u{c}"), turn(2, "v")] for c in range(20)}
+    rows = [(c, *t) for c, own in chats.items() for t in own]
+    nodes, leaves = chat_format.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = sorted(nodes.collect(), key=lambda r: r.place)
+    stream = "".join(r.segment for r in got)
+    seen = ["".join(stream[s.first : s.last] for s in r.attends) + r.segment for r in got]
+    want = {"".join(chat_format.formatted(*t[1:])[0] for t in own[:n]) for own in chats.values() for n in range(1, len(own) + 1)}
+    assert len(seen) == len(want) and set(seen) == want
+    assert [r.place for r in got] == [len("".join(x.segment for x in got[:i])) for i in range(len(got))] and [r.node for r in got] == list(range(len(got)))
+    assert all(r.position == len(s) - r.chars for r, s in zip(got, seen, strict=True))
+    assert all(a.last < b.first for r in got for a, b in itertools.pairwise(r.attends))
+    ends = {r.conv_id: seen[r.node] for r in leaves.collect()}
+    assert ends == {c: "".join(chat_format.formatted(*t[1:])[0] for t in own) for c, own in chats.items()}
+
+
 # 3
 
 

@@ -194,14 +194,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     cross = x.join(y, F.expr("x.token = y.token and x.component < y.component") & fits)
     pairs = Written(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars.df, ["a", "b"], "left_anti"), "cross")
     more = Written(verified(pairs.df), "links")
-    links = components(first.df.union(more.df))
+    # Texts that share an id are one node: the id links the classes of its sets.
+    several = linkable.groupBy("doc_id").agg(F.min("set_key").alias("low"), F.max("set_key").alias("high")).filter("low < high").select("doc_id")
+    ids = linkable.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct()
+    same_id = ids.join(classes.select("set_key", "node"), "set_key").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
+    links = components(first.df.union(more.df).union(same_id))
     for table in (*written, banded, stars, apart, tokens, prefix, pairs, first, more):
         table.drop()
     by_set = classes.select("set_key", "node").join(links, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_"))
     plain = signed.df.select("doc_id", "n_shingles", "set_key")
     out = plain.filter("n_shingles > 0 and doc_id is not null").join(by_set, "set_key")
     alone = plain.filter("n_shingles = 0 or doc_id is null").withColumn("component_", F.col("doc_id"))
-    # Texts that share an id are one node: another set of the id may have the smaller component.
     together = out.unionByName(alone)
     return together.select("doc_id", "n_shingles", F.col("component_").alias("component_id"), F.expr("doc_id <=> component_").alias("kept"))
 

@@ -2,12 +2,15 @@
 
 A word is a maximal run of bytes of a class; as no class splits the bytes above 0x7F, byte classes and the
 code-point classes of the contracts agree. Words are known by 64-bit hashes of their bytes, sequences of words by
-64-bit polynomial hashes of those.
+64-bit hashes of those. Every step of both scrambles all bits (no sums or polynomials, whose collisions could be
+constructed or come with repetitive texts); words of over LONG bytes are hashed by BLAKE2b. Whoever removes or links
+on equal hashes alone confirms that on the words, or names the odds.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -15,10 +18,12 @@ import pyarrow as pa
 from foliospark.llm.shared import strings
 
 U64 = np.uint64
-BLOCK = 1 << 18
+LONG = 4096
 M1, M2, GOLD = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB), U64(0x9E3779B97F4A7C15)
-#: Odd bases that are 5 mod 8: differences of their powers have few trailing zero bits.
-BYTE_BASE, WORD_BASE = 0x9E3779B97F4A7C15 & ~7 | 5, 0xD1342543DE82EF95
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+#: _FIRST[n] keeps the first n bytes of eight.
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -31,17 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW, _INV = powers(BYTE_BASE, 2 * BLOCK + 2), powers(pow(BYTE_BASE, -1, 1 << 64), 2 * BLOCK + 2)
-_PLAIN = mix(np.arange(1, 257, dtype=U64) * GOLD)
-_LOWER = _PLAIN.copy()
-_LOWER[65:91] = _PLAIN[97:123]
-
 #: Everything but the space and the control characters 9 to 13.
 NOT_SPACE = np.ones(256, bool)
 NOT_SPACE[[32, *range(9, 14)]] = False
@@ -70,26 +64,36 @@ class Words:
         self.starts = np.flatnonzero((inside > 0) & change[:-1])
         self.ends = np.flatnonzero((inside > 0) & change[1:]) + 1
         self.ptr = np.searchsorted(self.starts, self.offs)
-        self.hashes = self._hashes(_LOWER if lower else _PLAIN, lower)
+        self._lower = lower
+
+    @cached_property
+    def _eight(self) -> np.ndarray:
+        return self._blocks(LOWER[self.data] if self._lower else self.data)
+
+    @staticmethod
+    def _blocks(data: np.ndarray) -> np.ndarray:
+        """The eight bytes from each place on, as a number."""
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        return np.ndarray((len(data),), "<u8", padded, strides=(1,))
+
+    def block(self, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The `size` bytes (1 to 8) from `at` on, as a number."""
+        return self._eight[at] & _FIRST[size]
 
-    def _hashes(self, table: np.ndarray, lower: bool) -> np.ndarray:
-        out = np.empty(len(self.starts), U64)
+    @cached_property
+    def hashes(self) -> np.ndarray:
         lengths = self.ends - self.starts
-        cuts = np.searchsorted(self.starts, np.arange(0, len(self.data) + BLOCK, BLOCK))
-        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-            if i == j:
-                continue
-            a = self.starts[i]
-            fits = lengths[i:j] <= BLOCK
-            b = self.ends[i:j][fits].max(initial=a)
-            sums = np.zeros(b - a + 1, U64)
-            np.cumsum(table[self.data[a:b]] * _POW[: b - a], out=sums[1:])
-            s, e = self.starts[i:j] - a, np.minimum(self.ends[i:j] - a, b - a)
-            out[i:j] = (sums[e] - sums[np.minimum(s, b - a)]) * _INV[s]
-            for k in np.flatnonzero(~fits) + i:  # a word of over 256 KiB
-                word = self.data[self.starts[k] : self.ends[k]].tobytes()
-                out[k] = int.from_bytes(hashlib.blake2b(word.lower() if lower else word, digest_size=8).digest(), "little")
-        return mix(out + lengths.astype(U64) * GOLD)
+        out = mix(lengths.astype(U64) * GOLD)
+        on, at, left = slice(None), self.starts, lengths
+        while len(at):
+            out[on] = mix(out[on] * M2 ^ self.block(at, np.minimum(left, 8)))
+            more = np.flatnonzero((left > 8) & (left <= LONG) if isinstance(on, slice) else left > 8)
+            on, at, left = (more if isinstance(on, slice) else on[more]), at[more] + 8, left[more] - 8
+        for k in np.flatnonzero(lengths > LONG):
+            word = self.data[self.starts[k] : self.ends[k]].tobytes()
+            out[k] = int.from_bytes(hashlib.blake2b(word.lower() if self._lower else word, digest_size=8).digest(), "little")
+        return out
 
     @property
     def counts(self) -> np.ndarray:
@@ -102,11 +106,11 @@ class Words:
 
 def _join(a: np.ndarray, la: int, b: np.ndarray, lb: int) -> np.ndarray:
     n = max(0, len(a) - lb)
-    return a[:n] * U64(pow(WORD_BASE, lb, 1 << 64)) + b[la : la + n]
+    return mix(a[:n] * M2 ^ b[la : la + n])
 
 
 def ladder(words: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
-    """For each size k, a scrambled hash of words[i:i + k] for every i where k words follow; built by doubling."""
+    """For each size k, a hash of words[i:i + k] for every i where k words follow; built by doubling."""
     base = {1: words}
     while 2 * max(base) <= max(sizes, default=1):
         s = max(base)

@@ -222,21 +222,63 @@ def test_quality(spark):
 # 10
 
 
-def test_encoder_equals_the_library():
+def library_ids(path, texts):
     from tokenizers import Tokenizer
 
-    path = packing.tokenizer_file()
-    texts = ["", "  ", "don't we'LL 'S it's''s ...a.b,c 12a½ x²", "ΣΑΣ ΟΔΟΣ.", "<|endoftext|> a<|startoftext|>b", "a\x1cb c d\xa0e", "E\u0301 é İstanbul ﬁ \u212b", "日本語 テキスト, русский текст! ไทย नमस्ते", "a\tb\r\nc\x0bd", "x." * 3, "'d'm", "_a_ -b- (c)", "😀👍🏽 z", ".", " , ", "ǅ ǆ Ⅷ ⅷ", "w,, w., .w"]
     full = Tokenizer.from_file(path)
-    want = [np.array(full.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    return [full.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def encoded(encode, texts):
+    ids, counts = encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_encoder_equals_the_library(name, monkeypatch):
+    path = packing.tokenizer_file(name)
+    texts = ["", "  ", "don't we'LL 'S it's''s ...a.b,c 12a½ x²", "ΣΑΣ ΟΔΟΣ.", "<|endoftext|> a<|startoftext|>b <|ENDOFTEXT|> c<|", "a\x1cb c d\xa0e", "E\u0301 é İstanbul ﬁ \u212b H\u0331", "日本語 テキスト, русский текст! ไทย नमस्ते", "a\tb\r\nc\x0bd", "x." * 3, "'d'm", "_a_ -b- (c)", "😀👍🏽 z", ".", " , ", "ǅ ǆ Ⅷ ⅷ", "w,, w., .w Hello World, it's 2024", "a×b ÷ ÀÉÞß àéþÿ!? Éa... b'. c'' straße,", "x" * 70 + ". " + "Y" * 64 + "!"]
+    r = np.random.default_rng(9)
+    texts += [" ".join("".join(r.choice(list("abcdeEinrstTéÜ"), r.integers(1, 20))) + ("", ".", ",!", "%%%")[r.integers(4)] for _ in range(300)) for _ in range(4)]
+    want = library_ids(path, texts)
     encode = packing.Encoder(path)
-    assert encode(texts) == want and encode(texts[::-1]) == want[::-1]
-    packing_memory, packing.REMEMBERED = packing.REMEMBERED, 3
-    try:
-        small = packing.Encoder(path)
-        assert [small([t])[0] for t in texts * 2] == want * 2
-    finally:
-        packing.REMEMBERED = packing_memory
+    assert encode.cuts == name.startswith("word")
+    assert encoded(encode, texts) == want and encoded(encode, texts[::-1]) == want[::-1]
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    monkeypatch.setattr(packing, "SLOTS", 64)
+    small = packing.Encoder(path)
+    assert [encoded(small, [t])[0] for t in texts * 2] == want * 2
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying everything."""
+    best = len(lengths)
+
+    def put(i, room):
+        nonlocal best
+        if len(room) >= best:
+            return
+        if i == len(lengths):
+            best = len(room)
+            return
+        for j in {r: j for j, r in enumerate(room) if r >= lengths[i]}.values():
+            put(i + 1, [*room[:j], room[j] - lengths[i], *room[j + 1 :]])
+        put(i + 1, [*room, capacity - lengths[i]])
+
+    lengths = sorted(lengths, reverse=True)
+    put(0, [])
+    return best
+
+
+def test_plan_against_brute_force():
+    r, more = np.random.default_rng(11), 0
+    for _ in range(80):
+        lengths = r.integers(1, 21, r.integers(1, 10)).tolist()
+        used = sum(n for _, n in packing.plan(collections.Counter(lengths), 20))
+        least = fewest(lengths, 20)
+        assert least <= used <= least + 1
+        more += used - least
+    assert more <= 2
 
 
 @pytest.mark.parametrize("seed", range(5))
@@ -262,8 +304,8 @@ def test_packing(spark):
     rows = EDGE[:14] + [(20, LONG * 2, "en")]
     got = packing.pack_documents(frame(spark, rows), keep_ids=True)
     packed = got.collect()
-    encode = packing.Encoder(packing.tokenizer_file())
-    want = sorted((-1 if i is None else i, k // 4096, k, ids[4 * k : 4 * (k + 4096)]) for i, t, _ in rows for ids in [encode([t or ""])[0] + b"\x01\0\0\0"] for k in range(0, len(ids) // 4, 4096))
+    whole = library_ids(packing.tokenizer_file(), [t or "" for _, t, _ in rows])
+    want = sorted((-1 if i is None else i, k // 4096, k, np.array(ids[k : k + 4096], "<u4").tobytes()) for (i, _, _), own in zip(rows, whole, strict=True) for ids in [[*own, 1]] for k in range(0, len(ids), 4096))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.piece, r.start, bytes(r.ids)) for r in packed) == want
     assert all(r.ids_crc32 == zlib.crc32(r.ids) and r.length == len(r.ids) // 4 for r in packed)
     by = collections.defaultdict(list)

@@ -13,11 +13,11 @@ Other columns of the input are not read.
 
 from __future__ import annotations
 
+import json
 import os
-import unicodedata
 import zlib
-from array import array
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,16 +26,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliospark.llm.shared import Written, arrow_rows, slices, strings
-from foliospark.llm.textcore import Words
+from foliospark.llm.textcore import GOLD, U64, Words
 
 CAPACITY, END = 4096, 1
 #: Rows of one rank group (length, salt) at most, about.
 RANKED = 1 << 20
-#: Chunks of text whose ids a Python worker keeps in each of two generations; some 100 MB at most.
-REMEMBERED = 400_000
+#: Slots of a Python worker's memory of units (32 bytes each; half of them are used), and the ids it keeps before it starts afresh.
+SLOTS, REMEMBERED = 1 << 22, 1 << 23
+#: Longer units aren't remembered.
+SHORT = 64
 #: Texts are cut at spaces and newlines.
 NOT_CUT = np.ones(256, bool)
 NOT_CUT[[10, 32]] = False
+#: 0 for letters, 1 for ASCII signs, 65536 for others.
+_KIND = np.full(256, 1 << 16, np.uint32)
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+_KIND[[*range(65, 91), *range(97, 123)]] = 0
+NO_RANK = 1 << 62
 
 
 def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
@@ -44,79 +51,246 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: What lets texts be cut at spaces and newlines: they separate words, are dropped, and no composition spans them. Fixed values.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_MODEL = {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
+
+def cuts_at_spaces(definition: dict) -> bool:
+    """Whether a tokenizer's ids of a text are those of its chunks between spaces and newlines, in turn, and those of a word
+    of letters are plain byte pair merges of its bytes."""
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) and not set(t["content"]) & {" ", "\n"} for t in definition["added_tokens"])
+    normal, pre = definition["normalizer"] or {}, definition["pre_tokenizer"] or {}
+    split, *rest = pre.get("pretokenizers") or [{}]
+    words = split.get("type") == "Split" and split["pattern"] == {"Regex": _PATTERN} and split["behavior"] == "Removed" and split["invert"]
+    bytes_ = [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+    merges = all(definition["model"].get(k) == v for k, v in _MODEL.items())
+    return plain and definition["truncation"] is None and normal.get("normalizers") == _NORMALIZERS and words and bytes_ and merges
+
+
+class Merges:
+    """Byte pair merges of many words at once. Words of as many bytes are rows of a matrix; in each step every row that has a
+    mergeable pair merges its first pair of the lowest rank, so rows stay equally long until they are done."""
+
+    def __init__(self, model: dict):
+        vocabulary = model["vocab"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # these bytes stand for themselves, the rest for 256 on
+        others = iter(range(256, 512))
+        shown = [chr(b) if b in visible else chr(next(others)) for b in range(256)]
+        self.inner = np.array([vocabulary[c] for c in shown], np.int64)
+        self.final = np.array([vocabulary[c + "</w>"] for c in shown], np.int64)
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        keys = np.array([vocabulary[a] << 20 | vocabulary[b] for a, b in pairs], np.int64)
+        into = np.array([vocabulary[a + b] for a, b in pairs], np.int64)
+        self.width = 1 << 19
+        self.keys, self.values = np.full(self.width, -1, np.int64), np.full(self.width, NO_RANK, np.int64)
+        for key, slot, value in zip(keys.tolist(), self._slot(keys).tolist(), (np.arange(len(keys)) << 20 | into).tolist(), strict=True):
+            while self.keys[slot] not in (-1, key):
+                slot = slot + 1 & self.width - 1
+            if self.keys[slot] == -1:
+                self.keys[slot], self.values[slot] = key, value
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.view(U64) * GOLD >> U64(45)).view(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 20 | merged id of each pair, NO_RANK if it has none."""
+        keys = a << 20 | b
+        slot = self._slot(keys)
+        held = self.keys[slot]
+        out = np.where(held == keys, self.values[slot], NO_RANK)
+        on = np.flatnonzero((held != keys) & (held != -1))
+        while len(on):
+            slot[on] = slot[on] + 1 & self.width - 1
+            held = self.keys[slot[on]]
+            hit = held == keys[on]
+            out[on[hit]] = self.values[slot[on[hit]]]
+            on = on[~hit & (held != -1)]
+        return out
+
+    def _same_length(self, rows: np.ndarray):
+        """(row numbers, their ids as a matrix) for a matrix of bytes."""
+        ids = self.inner[rows]
+        ids[:, -1] = self.final[rows[:, -1]]
+        who = np.arange(len(ids))
+        ranks = self._ranks(ids[:, :-1].ravel(), ids[:, 1:].ravel()).reshape(len(ids), -1)
+        while ids.shape[1] > 1 and len(who):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(at)), at]
+            done = best == NO_RANK
+            if done.any():
+                yield who[done], ids[done]
+                who, ids, ranks, at, best = who[~done], ids[~done], ranks[~done], at[~done], best[~done]
+            each = np.arange(len(who))
+            ids[each, at] = best & (1 << 20) - 1
+            n = ids.shape[1] - 1
+            after = np.arange(n) > at[:, None]
+            ids = np.where(after, ids[:, 1:], ids[:, :-1])
+            ranks = np.where(after[:, :-1], ranks[:, 1:], ranks[:, :-1])
+            left, right = np.flatnonzero(at > 0), np.flatnonzero(at < n - 1)
+            ranks[left, at[left] - 1] = self._ranks(ids[left, at[left] - 1], ids[left, at[left]])
+            ranks[right, at[right]] = self._ranks(ids[right, at[right]], ids[right, at[right] + 1])
+        yield who, ids
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after another, and how many each word has."""
+        done = []
+        for n in np.unique(lengths).tolist():
+            own = np.flatnonzero(lengths == n)
+            done += [(own[who], ids) for who, ids in self._same_length(data[starts[own][:, None] + np.arange(n)])]
+        counts = np.zeros(len(starts), np.int64)
+        for who, ids in done:
+            counts[who] = ids.shape[1]
+        ends = np.cumsum(counts)
+        out = np.zeros(counts.sum(), np.uint32)
+        for who, ids in done:
+            out[(ends[who] - counts[who])[:, None] + np.arange(ids.shape[1])] = ids
+        return out, counts
+
+
 class Encoder:
-    """Ids as little-endian 32-bit bytes. Texts are cut at spaces, which no token of this vocabulary family crosses; of the
-    chunks of a slice (told apart by 64-bit hashes) each distinct one is looked up, and its ids are put where it stands. The
-    ids of chunks and of the words in them are remembered, two generations of REMEMBERED; texts on which cutting or
-    lower-casing could differ go to the library whole."""
+    """Ids of whole texts, as the library gives them. If the tokenizer's own definition says that texts may be cut at spaces
+    and newlines, they are, and what follows a word of letters, if that is signs only, is a unit of its own, as the
+    definition's pattern has it. Each distinct unit is encoded once and its ids are remembered, in an open hash table with
+    bounded slots and ids; a unit is known by its hash, its length and its first and last eight bytes. Words of letters, put
+    into lower case, are merged here, all other units go to the library. Other tokenizers get whole texts."""
 
     def __init__(self, path: str):
-        import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.full = Tokenizer.from_file(path)
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.known: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        known, before = self.known, self.before
-        words, cut = set(), {}
-        for c in missing:
-            if c in before:
-                known[c] = before[c]
-            elif c.isalpha():  # letters only: a word of its own
-                words.add(c)
-            else:
-                cut[c] = own = [c[:-1], c[-1]] if c[-1:] in (".", ",") and c[:-1].isalpha() else self.pieces.findall(c)
-                words.update(own)
-        new = [w for w in words if w not in known]
-        known.update(zip(new, self._whole(new), strict=True))
-        for c, own in cut.items():
-            known[c] = b"".join([known[w] for w in own])
-
-    def _simple(self, w: Words, texts: pa.Array) -> np.ndarray:
-        """Which texts may be cut: no special token's opening, no control character that only some call white space, and
-        beyond ASCII no final sigma and nothing that normalising changes."""
+        with open(path, encoding="utf-8") as f:
+            definition = json.load(f)
+        self.cuts = cuts_at_spaces(definition)
+        if self.cuts:
+            self.merges = Merges(definition["model"])
+            self._forget()
+
+    def _forget(self) -> None:
+        self.table = np.zeros((SLOTS, 4), np.int64)  # two marks, and the place among the ids << 16 | count, 0 if free
+        self.ids, self.size, self.held = np.zeros(1 << 16, np.uint32), 1, 0
+
+    def _keep(self, ids: np.ndarray) -> int:
+        at, self.size = self.size, self.size + len(ids)
+        while self.size > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.ids[at : self.size] = ids
+        return at
+
+    def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lists = [x.ids for x in self.full.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(lists)), np.uint32), np.array([len(x) for x in lists], np.int64)
+
+    def _learned(self, w: Words, units: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the ids of new units."""
+        at, counts = np.zeros(len(units), np.int64), np.zeros(len(units), np.int64)
+        starts, ends = w.starts[units], w.ends[units]
+        merged = letters & (ends - starts <= SHORT)
+        for own in (np.flatnonzero(merged), np.flatnonzero(~merged)):
+            if len(own):
+                if merged[own[0]]:
+                    ids, n = self.merges(w.data, starts[own], (ends - starts)[own])
+                else:
+                    ids, n = self._encoded([w.data[a:b].tobytes().decode() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)])
+                counts[own] = n
+                at[own] = self._keep(ids) + np.cumsum(n) - n
+        return at, counts
+
+    @staticmethod
+    def _slots(hashes: np.ndarray):
+        slot = hashes.view(np.int64)
+        for step in range(8):
+            yield slot + step & SLOTS - 1
+
+    @staticmethod
+    def _units(w: Words) -> np.ndarray:
+        """Cuts trailing ASCII signs off words of letters, and puts those into lower case; returns which units are words of
+        letters: A to Z and U+00C0 to U+00FF, but for the two signs among these."""
         data = w.data
+        kinds = _KIND[data]
+        lead = np.flatnonzero(data[:-1] == 0xC3)
+        lead = lead[(data[lead + 1] != 0x97) & (data[lead + 1] != 0xB7)]
+        kinds[lead] = kinds[lead + 1] = 0
+        before = np.zeros(len(data) + 1, np.uint32)
+        np.cumsum(kinds, out=before[1:], dtype=np.uint32)
+        lengths = w.ends - w.starts
+        signs = (before[w.ends] - before[w.starts]).astype(np.int64)  # from 65536 on: other bytes too
+        plain = (signs < lengths) & (lengths <= SHORT)
+        plain &= before[w.ends] - before[np.where(plain, w.ends - signs, w.ends)] == signs
+        cut = plain & (signs > 0)
+        heads = np.arange(len(cut)) + np.cumsum(cut) - cut
+        tails = heads[cut] + 1
+        letters = np.zeros(len(cut) + len(tails), bool)
+        letters[heads] = plain
+        starts, ends = np.empty(len(letters), np.int64), np.empty(len(letters), np.int64)
+        starts[heads], ends[heads] = w.starts, w.ends - np.where(cut, signs, 0)
+        starts[tails], ends[tails] = ends[heads[cut]], w.ends[cut]
+        w.ptr = w.ptr + np.concatenate([[0], np.cumsum(cut)])[w.ptr]
+        w.starts, w.ends = starts, ends
+        w.data = data.copy()
+        capital = np.flatnonzero(data - np.uint8(65) < 26)
+        w.data[capital[letters[np.searchsorted(starts, capital, "right") - 1]]] += np.uint8(32)
+        # Of U+00C0 to U+00DE the capitals are 32 below the others, in UTF-8 too; U+00DF is a small letter.
+        capital = lead[data[lead + 1] < 0x9F]
+        w.data[capital[letters[np.searchsorted(starts, capital, "right") - 1]] + 1] += np.uint8(32)
+        return letters
+
+    def _ids(self, w: Words, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and counts of the ids of every unit."""
+        lengths = w.ends - w.starts
+        first, last = w.block(w.starts, np.minimum(lengths, 8)), w.block(np.maximum(w.starts, w.ends - 8), np.minimum(lengths, 8))
+        marks = first.view(np.int64), (last ^ lengths.astype(U64) << U64(56) ^ w.hashes >> U64(8)).view(np.int64)
+        near = self.table.take(next(self._slots(w.hashes)), 0)
+        found = np.where((near[:, 0] == marks[0]) & (near[:, 1] == marks[1]), near[:, 2], 0)
+        seek = np.flatnonzero((found == 0) & (near[:, 2] != 0))
+        for slot in self._slots(w.hashes[seek]):
+            near = self.table.take(slot, 0)
+            same = (near[:, 0] == marks[0][seek]) & (near[:, 1] == marks[1][seek])
+            found[seek[same]] = near[same, 2]
+        at, counts = found >> 16, found & 0xFFFF
+        new = np.flatnonzero(found == 0)
+        if len(new):
+            _, one, which = np.unique(w.hashes[new], return_index=True, return_inverse=True)
+            one = new[one]
+            own_at, own_counts = self._learned(w, one, letters[one])
+            at[new], counts[new] = own_at[which], own_counts[which]
+            put = np.flatnonzero((lengths[one] <= SHORT) & (own_counts > 0))
+            values = own_at << 16 | own_counts
+            for slot in self._slots(w.hashes[one]):
+                free = self.table[slot[put], 2] == 0
+                self.table[slot[put[free]], 2] = values[put[free]]
+                won = self.table[slot[put], 2] == values[put]  # of several at one slot, one stays
+                own, at_slot = put[won], slot[put[won]]
+                self.table[at_slot, 0], self.table[at_slot, 1] = marks[0][one[own]], marks[1][one[own]]
+                self.held += len(own)
+                put = put[~won]
+        return at, counts
+
+    def __call__(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each text has."""
+        texts = strings(column if isinstance(column, (pa.Array, pa.ChunkedArray)) else pa.array(column, pa.large_string()))
+        if not self.cuts:
+            return self._encoded(texts.to_pylist())
+        if self.size > REMEMBERED or 2 * self.held > SLOTS:
+            self._forget()
+        w = Words(texts, NOT_CUT)
+        at, counts = self._ids(w, self._units(w))
+        ends = np.cumsum(counts)
+        ids = self.ids[np.repeat(at - ends + counts, counts) + np.arange(counts.sum())]
+        return ids, np.diff(np.concatenate([[0], ends])[w.ptr])
 
-        def holding(mask: np.ndarray) -> np.ndarray:
-            sums = np.concatenate([[0], np.cumsum(mask)])[w.offs]
-            return sums[1:] > sums[:-1]
 
-        odd = (data >= 0x1C) & (data <= 0x1F)
-        odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
-        simple = ~holding(odd)
-        for d in np.flatnonzero(simple & holding(data >= 0x80)):
-            text = texts[int(d)].as_py()
-            simple[d] = "Σ" not in text and unicodedata.is_normalized("NFC", text) and unicodedata.is_normalized("NFC", text.lower())
-        return simple
+_encoders: dict[str, Encoder] = {}
 
-    def __call__(self, column) -> list[bytes]:
-        texts = strings(column if isinstance(column, (pa.Array, pa.ChunkedArray)) else pa.array(column, pa.large_string()))
-        w = Words(texts, NOT_CUT)
-        simple = self._simple(w, texts)
-        used = np.flatnonzero(np.repeat(simple, w.counts))
-        _, first, which = np.unique(w.hashes[used], return_index=True, return_inverse=True)
-        at = used[first]
-        chunks = [w.data[a:b].tobytes().decode().lower() for a, b in zip(w.starts[at].tolist(), w.ends[at].tolist(), strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known, self.before = {}, self.known
-        if missing := set(chunks).difference(self.known):
-            self._learn(missing)
-        ids = [self.known[c] for c in chunks]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        sizes = np.array([len(x) // 4 for x in ids], np.int64)
-        begins = np.cumsum(sizes) - sizes
-        per = sizes[which]
-        ends = np.concatenate([[0], np.cumsum(per)])
-        raw = flat[np.repeat(begins[which] - ends[:-1], per) + np.arange(ends[-1])].tobytes()
-        bounds = (4 * ends[np.concatenate([[0], np.cumsum(np.where(simple, w.counts, 0))])]).tolist()
-        return [raw[a:b] if plain else self._whole([texts[d].as_py()])[0] for d, (a, b, plain) in enumerate(zip(bounds[:-1], bounds[1:], simple.tolist(), strict=True))]
+
+def encoder(path: str) -> Encoder:
+    """A worker's encoder, which lives as long as the worker."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("turn", pa.int64()), ("ids", pa.binary())])
@@ -127,19 +301,25 @@ def tokenized(docs: DataFrame, path: str, capacity: int = CAPACITY, keep_ids: bo
     arrow_rows(docs.sparkSession)
 
     def run(batches):
-        encode, turn = Encoder(path), 0
-        end = np.array([END], "<u4").tobytes()
+        encode, turn = encoder(path), 0
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = part.column("doc_id").to_pylist()
-                rows = []
-                for doc, raw in zip(ids, encode(part.column("text")), strict=True):
-                    raw += end
-                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                        own = raw[at : at + 4 * capacity]
-                        rows.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own), turn, own if keep_ids else None))
-                        turn += 1
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
+                ids, counts = encode(part.column("text"))
+                raw = memoryview(np.insert(ids, np.cumsum(counts), END).astype("<u4", copy=False)).cast("B")
+                sizes = counts + 1
+                pieces = -(-sizes // capacity)
+                owner = np.repeat(np.arange(len(sizes)), pieces)
+                piece = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(capacity, sizes[owner] - start)
+                first = (np.cumsum(sizes) - sizes)[owner] + start
+                bounds = list(zip((4 * first).tolist(), (4 * (first + length)).tolist(), strict=True))
+                columns = [
+                    part.column("doc_id").take(pa.array(owner)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array([zlib.crc32(raw[a:b]) for a, b in bounds], pa.int64()),
+                    pa.array(turn + np.arange(len(owner))), pa.array([bytes(raw[a:b]) for a, b in bounds], pa.binary()) if keep_ids else pa.nulls(len(owner), pa.binary()),
+                ]
+                turn += len(owner)
+                yield pa.RecordBatch.from_arrays(columns, schema=_PIECES)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, turn long, ids binary"
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -222,7 +402,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     # Bounded by the capacity: a pattern uses up a length's count, or is one of a few for a length.
     table = np.array(slots, np.int64).reshape(-1, 4)
     starts = table[:, 0] << 48 | table[:, 1]
-    salts = sum(counts.values()) // RANKED + 1
+    salts = sum(counts.values()) // RANKED + 32
     columns = pieces.columns
     salted = pieces.withColumn("salt_", F.pmod(F.col("turn"), F.lit(salts)))
     per_salt = salted.groupBy("length", "salt_").agg(F.count("*").alias("n_"))

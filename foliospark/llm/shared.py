@@ -7,6 +7,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.shipping import ship
 
@@ -70,6 +71,33 @@ class Written:
         _written.remove((self.spark, self.path))
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` through a reliable checkpoint in the shared folder. How its rows are partitioned stays known to the planner, so
+    a repartitioned `df` is planned without adaptive execution, which would hide that."""
+    spark = df.sparkSession
+    context, folder = spark.sparkContext, shared_folder(spark)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+#: A key that holds over 1 / HOT of all rows is hot; there are fewer than HOT such keys, whatever the table's size.
+HOT = 2000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int, count: str = "n_") -> DataFrame:
+    """Inner join with a `table` of one row a key that says in `count` how many of the `total` rows have it. Its hot keys,
+    fewer than HOT of them, are broadcast, so no task gets all rows of one; the others meet in a shuffle join."""
+    hot = table.filter(F.col(count) * HOT > total)
+    usual = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.filter(F.col(count) * HOT <= total).hint("merge"), keys)
+    return usual.unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def strings(column: pa.Array) -> pa.Array:
     """A string column as 64-bit offset strings without nulls."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,29 +1,33 @@
 """Substring dedup: prefix-partitioned suffix trees over the corpus's words.
 
-A suffix is the word sequence from one place of a document to its end. Two suffixes that share their first
-`min_words` words meet in a suffix-tree node of at least that depth, and such deep internal nodes are exactly the
-repeats to remove. The tree is never built as a whole:
-
-1. Documents are packed into chunk rows (compressed Arrow batches), so that later steps address whole chunks.
-2. Pruning without loss: each window of `min_words` words names its smallest 10-word hash. Equal windows name equal
-   hashes, so suffixes whose named hash occurs once in the corpus are leaves hanging from shallow nodes and drop out.
-3. Surviving suffixes are dealt into groups by a prefix of variable length: 12 words, or `min_words` words where the
-   12-word prefix bucket holds more than GROUP suffixes. A chunk sends a window once, however often it holds it,
-   so a passage that a third of all documents share adds one entry per chunk.
-4. A group sorts its suffixes' fingerprints; runs of equal fingerprints at depth `min_words` are its deep internal
-   nodes. Adjacent repeated windows of a document merge into maximal repeats.
-
-Word sequences are compared as 64-bit fingerprints of their words' 64-bit hashes.
-
-Defined cases: null and empty texts have no words and stay as they are; repeated rows (equal ids too) are occurrences
-of their own, so texts of `min_words` words or more lose all words in every copy; other columns pass through with
-their nulls; an empty table gives an empty result; added columns replace input columns of the same name.
+A suffix is the word sequence from one place of a document to its end. A window of `min_words` words is repeated if
+another suffix begins with it, that is, if its suffix hangs under an internal node of that depth or more. The corpus's
+suffixes are split by prefixes into groups that fit a task's memory, and each group gets a tree of its own:
+
+1. Documents are packed into chunk rows (compressed Arrow batches), dealt by chunk number and checkpointed, so later
+   steps join small tables to chunks without moving the texts again.
+2. Every window names its anchor, the ten words of the smallest hash in it. Windows beside each other that name the same
+   place form a segment; all suffixes that share a window's words share its anchor, so the anchor's ten words are the
+   prefix that groups are made by. Anchors that stand once in the corpus hold no repeat and drop out, without loss.
+3. Segments whose words are equal (128-bit BLAKE2b digests) are one, counted natively; several make all their windows repeated.
+   Only anchors with different segments need a tree, of one text for each.
+4. A group of anchors numbers its words exactly, ranks all its suffixes by prefix doubling over these numbers, and takes
+   the longest common prefixes of neighbours in that order. Runs of common prefixes of `min_words` words or more are its
+   deep internal nodes; all suffixes under one are repeats.
+5. An anchor with over GROUP different segments gets a longer prefix: the whole window, and is split into groups by that;
+   suffixes that share it are counted natively.
+
+Adjacent repeated windows of a document add up to the ranges that are removed.
+
+Defined cases: null and empty texts have no words and stay as they are; a text of any length is one row of a chunk of its
+own beyond 4 MB; repeated rows (equal ids too) are occurrences of their own, so texts of `min_words` words or more lose
+all words in every copy; other columns pass through with their nulls; an empty table gives an empty result; added columns
+replace input columns of the same name.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,13 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import Written, arrow_rows, slices
-from foliospark.llm.textcore import U64, Words, ladder, sliding_min
+from foliospark.llm.shared import Written, arrow_rows, checkpointed, join_hot, slices
+from foliospark.llm.textcore import U64, Words, rolling, sliding_min
 
 MIN_WORDS = 35
-ANCHOR, SHORT_PREFIX = 10, 12
-#: Suffixes of a group: 8 bytes each, so a group takes some tens of MB while it is sorted.
-GROUP = 1 << 20
+ANCHOR = 10
+#: Segments of a tree, about: 60 words each at most, so a group takes some 100 MB.
+GROUP = 1 << 15
+#: Windows of a segment at most: bits of a long.
+MOST = 62
 ADDED = "dedup_text string, n_words long, n_removed long, removed_spans array<struct<first:int,last:int>>, kept_sha256 string"
 
 
@@ -53,80 +59,96 @@ def _unpack(payload) -> pa.RecordBatch:
     return next(iter(pa.ipc.open_stream(pa.py_buffer(payload))))
 
 
-class _Windows:
-    """A chunk's windows of k words: where they are, and the fingerprints that matter."""
-
-    def __init__(self, batch: pa.RecordBatch, text: str, k: int):
-        self.words = Words(batch.column(text))
-        anchor = min(ANCHOR, k)
-        rungs = ladder(self.words.hashes, sorted({anchor, min(SHORT_PREFIX, k), k}))
-        self.full, n = rungs[k], len(rungs[k])
-        self.short = rungs[min(SHORT_PREFIX, k)][:n]
-        self.named = sliding_min(rungs[anchor], k - anchor + 1)[:n] if n else rungs[k]
-        self.at = np.flatnonzero(self.words.left()[:n] >= k)
-        # A place is named by some window if the largest name among the windows around it is its own hash.
-        reach = k - anchor
-        names = np.zeros(n + 2 * reach, U64)
-        names[self.at + reach] = self.named[self.at]
-        most = (~sliding_min(~names, reach + 1))[: n + reach if n else 0]
-        own = rungs[anchor][: len(most)]
-        self.places = own[(most == own) & (most > 0)]
-
-    def repeated_here(self, x: np.ndarray) -> np.ndarray:
-        values, counts = np.unique(x, return_counts=True)
-        return values[counts > 1]
-
-    def candidates(self, elsewhere: np.ndarray) -> np.ndarray:
-        named = self.named[self.at]
-        return self.at[np.isin(named, np.concatenate([elsewhere, self.repeated_here(self.places)]))]
-
-
-def _gathered(lists) -> np.ndarray:
-    return np.frombuffer(b"".join(lists or ()), U64)
-
-
-def _rows(schema: pa.Schema, rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
-
-
-_CHUNKS = pa.schema([("chunk", pa.int64()), ("windows", pa.int64()), ("payload", pa.binary())])
-_SENT = pa.schema([("part", pa.int64()), ("n", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
-_DEALT = pa.schema([("part", pa.int64()), ("sub", pa.int64()), ("chunk", pa.int64()), ("hashes", pa.binary())])
-_REPLY = pa.schema([("chunk", pa.int64()), ("hashes", pa.binary())])
-
-
-def _dealt(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.argsort(keys, kind="stable")
-    keys, values = keys[order], values[order]
-    cuts = np.append(np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)), len(keys))
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        yield int(keys[a]), values[a:b].tobytes()
-
-
-def _in_two_chunks(table: pa.Table) -> pa.Table:
-    """Of one group: for each chunk, its fingerprints that another chunk has too (the deep internal nodes)."""
-    sizes = [len(x) // 8 for x in table.column("hashes").to_pylist()]
-    values = _gathered(table.column("hashes").to_pylist())
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    same = values[1:] == values[:-1]
-    deep = np.zeros(len(values), bool)
-    deep[1:] |= same
-    deep[:-1] |= same
-    values, owner = values[deep], owner[deep]
-    chunks = table.column("chunk").to_pylist()
-    return pa.Table.from_batches([_rows(_REPLY, [(chunks[o], h) for o, h in _dealt(owner, values)])])
+class _Segments:
+    """A chunk's segments: their first windows, how many windows each has, and their anchors' hashes."""
+
+    def __init__(self, column: pa.Array, k: int):
+        self.k = k
+        self.words = w = Words(column)
+        anchor = max(min(ANCHOR, k), k - MOST + 1)
+        hashes = rolling(w.hashes, anchor)
+        at = np.flatnonzero(w.left() >= k)
+        # The first of the places with the smallest hash: equal windows name equal places in themselves.
+        bits = max(1, len(hashes).bit_length())
+        place = (sliding_min(hashes >> U64(bits) << U64(bits) | np.arange(len(hashes), dtype=U64), k - anchor + 1)[at] & U64((1 << bits) - 1)).astype(np.int64)
+        fresh = np.ones(len(at), bool)
+        fresh[1:] = (np.diff(at) > 1) | (np.diff(place) != 0)
+        begin = np.flatnonzero(fresh)
+        self.first, self.anchors = at[begin], hashes[place[begin]].view(np.int64)
+        self.windows = np.diff(np.append(begin, len(at)))
+        self.spaced = np.cumsum(np.concatenate([[0], w.ends - w.starts + 1]))
+
+    def text(self, i: int) -> bytes:
+        """The words of segment i, joined by single spaces."""
+        a, b = int(self.first[i]), int(self.first[i] + self.windows[i] + self.k - 2)
+        raw = self.words.data[self.words.starts[a] : self.words.ends[b]].tobytes()
+        return raw.translate(_PLAIN) if len(raw) + 1 == self.spaced[b + 1] - self.spaced[a] else b" ".join(raw.split())
+
+
+_PLAIN = bytes(32 if 9 <= b <= 13 else b for b in range(256))
+
+
+def _digest(text: bytes) -> tuple[int, int]:
+    d = hashlib.blake2b(text, digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def _longs(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns.values()], names=list(columns))
+
+
+def ranks(codes: np.ndarray, depth: int) -> list[np.ndarray]:
+    """Prefix doubling: the ranks of all sequences of 1, 2, 4 ... codes up to at least `depth`; zeros follow the last code."""
+    out = [codes]
+    while 1 << len(out) - 1 < depth:
+        half, now = 1 << len(out) - 1, out[-1].astype(np.int64)
+        pairs = now * (int(now.max(initial=0)) + 1)
+        pairs[:-half] += now[half:]
+        out.append(np.unique(pairs, return_inverse=True)[1].astype(np.int32) if len(pairs) > half else now)
+    return out
+
+
+def deep_suffixes(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, offset in words) of all suffixes of these texts (words joined by single spaces) that share their first k words
+    with another suffix: those under the deep internal nodes of the texts' suffix tree."""
+    w = Words(texts)
+    lengths = w.ends - w.starts
+    plain = w.data[w.data != 32] if len(lengths) else w.data
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(lengths)])), pa.py_buffer(plain)])
+    numbers = words.dictionary_encode().indices.to_numpy() + 1
+    # A zero after each text, and enough of them at the end to read past it.
+    owner = np.repeat(np.arange(len(texts)), w.counts)
+    codes = np.zeros(len(numbers) + len(texts) + 4 * k + 64, np.int64)
+    place = np.arange(len(numbers)) + owner
+    codes[place] = numbers
+    left = w.left()
+    levels = ranks(codes, int(w.counts.max(initial=1)) + 1)
+    suffixes = np.flatnonzero(left >= k)
+    at, room = place[suffixes], left[suffixes]
+    order = np.argsort(levels[-1][at], kind="stable")
+    suffixes, at, room = suffixes[order], at[order], room[order]
+    x, y = at[:-1], at[1:]
+    common = np.zeros(len(x), np.int64)
+    for level in range(len(levels) - 1, -1, -1):
+        same = levels[level][np.minimum(x + common, len(codes) - 1)] == levels[level][np.minimum(y + common, len(codes) - 1)]
+        common += same * (1 << level)
+    deep = np.minimum(common, np.minimum(room[:-1], room[1:])) >= k
+    under = np.zeros(len(suffixes), bool)
+    under[:-1] |= deep
+    under[1:] |= deep
+    found = suffixes[under]
+    return owner[found], found - w.ptr[owner[found]]
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, digest: bool = False) -> DataFrame:
     """`docs` with ADDED columns: the text without its repeated words (what stands between stays as it was), word
-    counts, the removed maximal repeats as word ranges (last excluded), and with `digest` the SHA-256 of the kept words
-    joined by single spaces (else null)."""
+    counts, the removed word ranges (last excluded), and with `digest` the SHA-256 of the kept words joined by single
+    spaces (else null)."""
     spark = docs.sparkSession
     arrow_rows(spark)
     k = min_words
     own = [f for f in docs.schema.fields]
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def pack(batches):
         parts, held, seq = [], 0, 0
@@ -134,8 +156,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WOR
 
         def row():
             batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            at = _Windows(batch, text, k).at
-            return _rows(_CHUNKS, [(base + seq, len(at), _ipc(batch))])
+            return pa.RecordBatch.from_arrays([pa.array([base + seq], pa.int64()), pa.array([_ipc(batch)], pa.binary())], names=["chunk", "payload"])
 
         for batch in batches:
             for part in slices(batch, text):
@@ -147,70 +168,104 @@ def remove_repeats(docs: DataFrame, text: str = "text", min_words: int = MIN_WOR
         if parts and sum(p.num_rows for p in parts):
             yield row()
 
-    chunks = Written(docs.mapInArrow(pack, "chunk long, windows long, payload binary"), "chunks")
-    total = chunks.df.agg(F.sum("windows")).first()[0] or 0
-    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    anchors = max(width, total * 2 // (k - min(ANCHOR, k) + 2) // GROUP + 1)
-    prefixes = 4 * max(width, total // GROUP + 1)
-
-    def send(batches):
-        counts = np.zeros(prefixes, np.int64)
-        for batch in batches:
-            for chunk, payload in zip(batch.column("chunk").to_pylist(), batch.column("payload"), strict=True):
-                w = _Windows(_unpack(payload.as_buffer()), text, k)
-                first = np.unique(w.full[w.at], return_index=True)[1]
-                counts += np.bincount((w.short[w.at[first]] % U64(prefixes)).astype(np.int64), minlength=prefixes)
-                named = np.unique(w.named[w.at])
-                yield _rows(_SENT, [(p, 0, chunk, h) for p, h in _dealt((named % U64(anchors)).astype(np.int64), named)])
-        at = np.flatnonzero(counts)
-        yield _rows(_SENT, [(int(p), int(counts[p]), None, None) for p in at])
-
-    sent = Written(chunks.df.select("chunk", "payload").mapInArrow(send, "part long, n long, chunk long, hashes binary"), "anchors")
-    # At most one row for each GROUP suffixes of the corpus.
-    heavy = {r.part: r.n for r in sent.df.filter("n > 0").groupBy("part").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP).collect()}
-    reply = "chunk long, hashes binary"
-    named_twice = sent.df.filter("n = 0").select("part", "chunk", "hashes").groupBy("part").applyInArrow(_in_two_chunks, reply)
-
-    def by_chunk(found: DataFrame, how: str) -> DataFrame:
-        lists = found.groupBy("chunk").agg(F.collect_list("hashes").alias("lists"))
-        return chunks.df.select("chunk", "payload").join(lists.hint("merge"), "chunk", how)
-
-    def deal(batches):
-        for batch in batches:
-            for chunk, payload, lists in zip(batch.column("chunk").to_pylist(), batch.column("payload"), batch.column("lists").to_pylist(), strict=True):
-                w = _Windows(_unpack(payload.as_buffer()), text, k)
-                at = w.candidates(_gathered(lists))
-                full, first = np.unique(w.full[at], return_index=True)
-                part = (w.short[at[first]] % U64(prefixes)).astype(np.int64)
-                sub = np.zeros(len(part), np.int64)
-                for p, n in heavy.items():
-                    mine = part == p
-                    sub[mine] = (full[mine] // U64(prefixes) % U64(2 * n // GROUP + 2)).astype(np.int64)
-                width_sub = max((2 * n // GROUP + 2 for n in heavy.values()), default=1)
-                yield _rows(_DEALT, [(key // width_sub, key % width_sub, chunk, h) for key, h in _dealt(part * width_sub + sub, full)])
-
-    dealt = by_chunk(named_twice, "inner").mapInArrow(deal, "part long, sub long, chunk long, hashes binary")
-    repeated = dealt.groupBy("part", "sub").applyInArrow(lambda t: _in_two_chunks(t), reply)
+    chunks = checkpointed(docs.mapInArrow(pack, "chunk long, payload binary").repartition(width, "chunk"))
+
+    def on_chunks(df: DataFrame, f, schema: str | T.StructType) -> DataFrame:
+        """f(chunk number, its rows, the other columns' values) for each chunk, a batch or none each."""
+        extra = [c for c in df.columns if c not in ("chunk", "payload")]
+
+        def run(batches):
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    given = [batch.column(c)[i].as_py() or [] for c in extra]
+                    yield f(batch.column("chunk")[i].as_py(), _unpack(batch.column("payload")[i].as_buffer()), *given)
+
+        return df.mapInArrow(run, schema)
+
+    def by_chunk(rows: DataFrame, column, how: str = "inner") -> DataFrame:
+        """The chunks with a list of what `rows` say of each; bounded by a chunk's segments. The texts aren't shuffled."""
+        lists = rows.groupBy("chunk").agg(F.collect_list(column).alias("lists"))
+        return chunks.join(lists.hint("merge"), "chunk", how)
+
+    def anchors(chunk, rows):
+        s = _Segments(rows.column(text), k)
+        values, times = np.unique(s.anchors, return_counts=True)
+        return _longs(anchor=values, chunk=np.full(len(values), chunk), times=np.minimum(times, 2))
+
+    named = Written(on_chunks(chunks, anchors, "anchor long, chunk long, times long"), "anchors")
+    twice = named.df.groupBy("anchor").agg(F.sum("times").alias("times_"), F.count("*").alias("n_")).filter("times_ > 1").drop("times_")
+    twice = Written(twice, "repeated")
+    again = join_hot(named.df.select("anchor", "chunk"), twice.df, ["anchor"], named.df.count()).select("chunk", "anchor")
+
+    def segments(chunk, rows, repeated):
+        s = _Segments(rows.column(text), k)
+        which = np.flatnonzero(np.isin(s.anchors, np.array(repeated, np.int64)))
+        keys = np.array([_digest(s.text(i)) for i in which.tolist()], np.int64).reshape(-1, 2)
+        return _longs(chunk=np.full(len(which), chunk), idx=which, windows=s.windows[which], anchor=s.anchors[which], k1=keys[:, 0], k2=keys[:, 1])
+
+    found = Written(on_chunks(by_chunk(again, "anchor"), segments, "chunk long, idx long, windows long, anchor long, k1 long, k2 long"), "segments")
+    one = found.df.groupBy("anchor", "k1", "k2").agg(F.count("*").alias("n_"), F.min(F.struct("chunk", "idx")).alias("place"), F.first("windows").alias("windows"))
+    different = Written(one.select("anchor", "k1", "k2", "n_", "place.*", "windows"), "different")
+    several = different.df.groupBy("anchor").agg(F.count("*").alias("d_")).filter("d_ > 1")
+    in_trees = join_hot(different.df.drop("n_"), several.withColumn("n_", F.col("d_")), ["anchor"], different.df.count())
+    in_trees = Written(in_trees.select("chunk", "idx", "anchor", "k1", "k2", (F.col("d_") > GROUP).alias("heavy")), "trees")
+    groups = max(width, 2 * in_trees.df.count() // GROUP + 1)
+
+    def suffixes(chunk, rows, wanted):
+        s = _Segments(rows.column(text), k)
+        part, k1, k2, offset, words, w1, w2 = ([] for _ in range(7))
+        for x in wanted:
+            words_ = s.text(x["idx"])
+            if not x["heavy"]:
+                pieces = [(x["anchor"] % groups, -1, words_, 0, 0)]
+            else:  # each window is a prefix of its own
+                own = words_.split(b" ")
+                pieces = [(0, i, None, *_digest(b" ".join(own[i : i + k]))) for i in range(len(own) - k + 1)]
+            for p, o, t, a, b in pieces:
+                for column, value in zip((part, k1, k2, offset, words, w1, w2), (p, x["k1"], x["k2"], o, t, a, b), strict=True):
+                    column.append(value)
+        batch = _longs(part=part, k1=k1, k2=k2, offset=offset, w1=w1, w2=w2)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(words, pa.binary())], names=[*batch.schema.names, "words"])
+
+    wanted = by_chunk(in_trees.df, F.struct("idx", "anchor", "k1", "k2", "heavy"))
+    dealt = Written(on_chunks(wanted, suffixes, "part long, k1 long, k2 long, offset long, w1 long, w2 long, words binary"), "suffixes")
+
+    def tree(table: pa.Table) -> pa.Table:
+        who, offset = deep_suffixes(table.column("words").combine_chunks().cast(pa.large_binary()).view(pa.large_string()), k)
+        masks = np.zeros(table.num_rows, np.int64)
+        np.bitwise_or.at(masks, who, np.int64(1) << offset)
+        deep = np.flatnonzero(masks)
+        return pa.table({"k1": table.column("k1").take(pa.array(deep)), "k2": table.column("k2").take(pa.array(deep)), "mask": pa.array(masks[deep])})
+
+    light = dealt.df.filter("offset < 0").groupBy("part").applyInArrow(tree, "k1 long, k2 long, mask long")
+    windows = dealt.df.filter("offset >= 0").select("w1", "w2", "k1", "k2", "offset")
+    shared = windows.groupBy("w1", "w2").agg(F.count("*").alias("n_")).filter("n_ > 1")
+    heavy = windows.join(shared, ["w1", "w2"]).select("k1", "k2", F.expr("shiftleft(1L, cast(offset as int))").alias("mask"))
+    whole = different.df.filter("n_ > 1").select("k1", "k2", F.expr("shiftleft(1L, cast(windows as int)) - 1").alias("mask"))
+    masks = light.unionByName(heavy).unionByName(whole).groupBy("k1", "k2").agg(F.expr("bit_or(mask)").alias("mask"))
+    masks = Written(masks.join(different.df.select("k1", "k2", "n_"), ["k1", "k2"]), "masks")
+    reply = join_hot(found.df.select("chunk", "idx", "k1", "k2"), masks.df, ["k1", "k2"], found.df.count()).select("chunk", "idx", "mask")
+    last = Written(reply, "reply")
+    for table in (named, twice, found, different, in_trees, dealt, masks):
+        table.drop()
     added = T._parse_datatype_string(ADDED)
     kept = [f for f in own if f.name not in added.names]
     out_schema = T.StructType(kept + added.fields)
 
-    def strip(batches):
-        for batch in batches:
-            for payload, lists in zip(batch.column("payload"), batch.column("lists").to_pylist(), strict=True):
-                rows = _unpack(payload.as_buffer())
-                yield _stripped(rows, text, k, _gathered(lists), digest, [f.name for f in kept])
+    def strip(chunk, rows, repeated):
+        return _stripped(rows, text, k, repeated, digest, [f.name for f in kept])
 
-    return by_chunk(repeated, "left").mapInArrow(strip, out_schema)
+    return on_chunks(by_chunk(last.df, F.struct("idx", "mask"), "left"), strip, out_schema)
 
 
 _SPANS = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
 
-def _stripped(rows: pa.RecordBatch, text: str, k: int, elsewhere: np.ndarray, digest: bool, keep: list[str]) -> pa.RecordBatch:
-    w = _Windows(rows, text, k)
-    words, full = w.words, w.full[w.at]
-    hit = w.at[np.isin(full, np.concatenate([elsewhere, w.repeated_here(full)]))]
+def _stripped(rows: pa.RecordBatch, text: str, k: int, repeated: list[dict], digest: bool, keep: list[str]) -> pa.RecordBatch:
+    s = _Segments(rows.column(text), k)
+    words = s.words
+    idx, mask = np.array([r["idx"] for r in repeated], np.int64), np.array([r["mask"] for r in repeated], np.int64)
+    hit = np.concatenate([np.zeros(0, np.int64), *[s.first[idx[mask >> b & 1 == 1]] + b for b in range(MOST)]])
     edge = np.zeros(len(words.starts) + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + k, -1)

@@ -6,9 +6,10 @@ import itertools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from foliospark.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality, sharding, substring_dedup, topk_search, url_filter
+from foliospark.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality, shared, sharding, substring_dedup, textcore, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -69,6 +70,60 @@ def test_substring_dedup_heavy_prefixes(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(rows, 20)
 
 
+def thue_morse(n):
+    a = "ab"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    a, b = thue_morse(1024)
+    words = words_of(40, 90)
+    rows = [(1, " ".join([*words[:17], a, *words[17:34]]), "x"), (2, " ".join([*words[:17], b, *words[17:34]]), "x")]
+    got = substring_dedup.remove_repeats(frame(spark, rows), digest=True).collect()
+    assert [r.n_removed for r in got] == [0, 0]
+    linked_rows = [(i, " ".join(words[:30] + [x] + words[30:33]), "x") for i, x in ((1, a), (2, b))]
+    assert [r.component_id for r in near_dedup.near_duplicates(frame(spark, linked_rows), 3, (85, 100)).orderBy("doc_id").collect()] == [1, 2]
+    long = words_of(700, 91, 2)  # two words only: sequences that repeat much
+    assert len({textcore.rolling(textcore.Words(pa.array([t])).hashes, 2048)[0] for t in (" ".join(thue_morse(2048)[0]), " ".join(thue_morse(2048)[1]))}) == 2
+    rows = [(1, " ".join(long), "x"), (2, " ".join(long[::-1]), "x")]
+    got = substring_dedup.remove_repeats(frame(spark, rows), min_words=12, digest=True).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == removed(rows, 12)
+
+
+@pytest.mark.parametrize("group", [3, 1 << 15])
+def test_substring_dedup_hot_passages(spark, monkeypatch, group):
+    """A passage in every document, with other words before, in and after it, and equal copies; as hot keys and heavy anchors."""
+    monkeypatch.setattr(substring_dedup, "GROUP", group)
+    monkeypatch.setattr(shared, "HOT", 7)
+    r, hot, rows = np.random.default_rng(12), words_of(45, 92), []
+    for i in range(150):
+        own = list(hot)
+        if i % 3 == 0:
+            own[int(r.integers(45))] = f"other{i % 9}"
+        rows.append((i, " ".join(words_of(i % 4, i) + own[i % 5 :] + words_of(i % 7, 200 + i)), "x"))
+    rows += [(200 + i, "equal copy " + "\n".join(hot) + "  \t end", "x") for i in range(40)]
+    got = substring_dedup.remove_repeats(frame(spark, rows).repartition(6), min_words=20, digest=True).collect()
+    assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got) == removed(rows, 20)
+
+
+def test_suffix_trees_against_brute_force():
+    r = np.random.default_rng(13)
+    for k in (1, 3, 8):
+        texts = [" ".join(r.choice(list("abc"), r.integers(k, 30))) for _ in range(12)]
+        split = [t.split() for t in texts]
+        seen = collections.Counter(tuple(w[i : i + k]) for w in split for i in range(len(w) - k + 1))
+        want = {(d, i) for d, w in enumerate(split) for i in range(len(w) - k + 1) if seen[tuple(w[i : i + k])] > 1}
+        who, at = substring_dedup.deep_suffixes(pa.array(texts, pa.large_string()), k)
+        assert set(zip(who.tolist(), at.tolist(), strict=True)) == want
+
+
+def test_texts_are_shuffled_once(spark):
+    plan = substring_dedup.remove_repeats(frame(spark, EDGE))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 def test_empty_tables_and_clashing_names(spark):
     none = frame(spark, [])
     assert substring_dedup.remove_repeats(none).count() == 0

@@ -41,8 +41,8 @@ from foliospark.llm.textcore import U64, Words, rolling, sliding_min
 
 MIN_WORDS = 35
 ANCHOR = 10
-#: Segments of a tree, about: 60 words each at most, so a group takes some 100 MB.
-GROUP = 1 << 15
+#: Segments of a tree, about: 60 words each at most, so a group takes some 10 MB.
+GROUP = 1 << 11
 #: Windows of a segment at most: bits of a long.
 MOST = 62
 ADDED = "dedup_text string, n_words long, n_removed long, removed_spans array<struct<first:int,last:int>>, kept_sha256 string"

@@ -203,9 +203,37 @@ def test_super_min_hash_estimates_similarity():
     assert (few < 16 << 40).all()
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    a, b = " ".join(words_of(40, 93)), " ".join(words_of(40, 94))
+    rows = [(3, a, "x"), (7, a, "x"), (7, b, "x"), (9, b + " end", "x"), (7, b, "x"), (3, "", "x"), (3, None, "x")]
+    got = near_dedup.near_duplicates(frame(spark, rows), 3, (85, 100)).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert sorted(tuple(r) for r in got) == [(3, 0, 3, True), (3, 0, 3, True), (3, 38, 3, True), (7, 38, 3, False), (7, 38, 7, True), (7, 38, 7, True), (9, 39, 7, False)]
+
+
+def test_near_duplicates_with_hot_keys(spark, monkeypatch):
+    for module, name, value in ((shared, "HOT", 5), (near_dedup, "FAN", 4), (near_dedup, "UNION", 10)):
+        monkeypatch.setattr(module, name, value)
+    rows = near_rows() + [(500 + i, LONG, "x") for i in range(60)]
+    want = linked(rows, 3, 85, 100)
+    got = near_dedup.near_duplicates(frame(spark, rows).repartition(6), 3, (85, 100)).filter("doc_id is not null").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id) for r in got if (r.n_shingles, r.component_id) != want[r.doc_id]] == []
+
+
+def test_bands_find_pairs_at_the_threshold():
+    r = np.random.default_rng(14)
+    m, missed = near_dedup.BANDS * near_dedup.ROWS, 0
+    for _ in range(1500):
+        x = r.integers(0, 2**63, 222).astype(np.uint64)
+        a, b = np.unique(x[:204]), np.unique(np.concatenate([x[:186], x[204:]]))
+        assert len(a) + len(b) - len(np.intersect1d(a, b)) == 222 and len(np.intersect1d(a, b)) == 186  # 0.838
+        keys = [near_dedup.band_keys(near_dedup.super_min_hash(s, m), near_dedup.BANDS, near_dedup.ROWS) for s in (a, b)]
+        missed += not (keys[0] == keys[1]).any()
+    assert missed == 0
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (103, 102)], "a long, b long").repartition(7)
-    got = {r.node: r.component for r in near_dedup.components(edges).collect()}
+    got = {r.node: r.component for r in near_dedup.components(edges).df.collect()}
     assert got == {i: 0 for i in range(1, 51)} | {101: 100, 103: 102}
 
 

@@ -55,3 +55,11 @@ def test_empty_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     assert cp.run(spark, d).count() == 0
+
+
+def test_a_text_that_shares_an_id_with_a_copy_stays(spark):
+    a, b = text(60, 1), text(60, 2)
+    rows = [(3, a), (7, a), (7, b), (7, b), (9, b + " x"), (8, None), (8, None), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, "k") for i, t in rows], COLUMNS)
+    kept = cp.near_dedup_stage(spark, docs, "").collect()
+    assert collections.Counter((r.doc_id, r.text) for r in kept) == collections.Counter([(3, a), (7, b), (8, None), (None, a)])

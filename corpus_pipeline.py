@@ -33,13 +33,20 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, the one with the smallest id (of several texts with this id, one);
+    a text that only shares its id with a document that goes, stays. Documents without words or id are in no group."""
     judged = Written(near_dedup.near_duplicates(docs), "groups").df
-    kept = docs.join(judged.filter("not kept").select("doc_id").distinct().hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    twice = Written(judged.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "twice").df
+    linked = judged.filter("n_shingles > 0 and doc_id is not null")
+    stays = linked.filter("kept").groupBy("component_id").agg(F.min("text_key").alias("text_key")).select(F.col("component_id").alias("doc_id"), "text_key")
+    goes = linked.select("doc_id", "text_key").distinct().join(stays, ["doc_id", "text_key"], "left_anti")
+    keyed = docs.withColumn("own_key_", F.xxhash64(F.col("text").cast("string")))
+    rows = F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id_")) & (F.col("own_key_") == F.col("gone_key_"))
+    gone = Written(goes.select(F.col("doc_id").alias("gone_id_"), F.col("text_key").alias("gone_key_")), "gone").df
+    kept = keyed.join(gone.hint("merge"), rows, "left_anti").drop("own_key_")
+    twice = Written(judged.filter("doc_id is not null").groupBy("doc_id", "text_key").count().filter("count > 1").select("doc_id"), "twice").df
     if twice.isEmpty():
         return kept
-    once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    once = kept.join(twice.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return kept.join(twice, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
 
 

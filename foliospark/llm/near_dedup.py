@@ -3,11 +3,12 @@
 A document's set holds its distinct word shingles (64-bit hashes); a shorter text's whole sequence is one shingle.
 Documents with equal sets form one class at once and go on as one, so groups of copies cost a row. SuperMinHash gives
 each shingle one random permutation of the signature's slots, walked step by step; the walk ends early, once no slot can
-still fall. Bands of the signature name buckets; in a bucket, members are paired with the smallest one, not with each
-other. Pairs are confirmed on full sets and grouped. Then the members of buckets that
+still fall. Bands of the signature name buckets; in a bucket, members are paired with one of them, first the one of the
+smallest id, not with each other. Pairs are confirmed on full sets and grouped, and buckets that span several groups are
+paired with other members, STARS times in all. Then the members of buckets that
 still span several groups meet in an exact join: a set's partner shares one of its rarest shingles (a prefix in the order
 of how many of these sets hold a shingle, as long as the threshold asks), so sets of different groups that share such a
-shingle are paired and confirmed, and no link whose ends both miss the smallest member is lost. Large groups of copies
+shingle are paired and confirmed, and no link whose ends both miss a bucket's centres is lost. Large groups of copies
 that differ too much from each other have rare shingles enough, and make few pairs. With 20 bands of 4, a pair at
 similarity 0.85 shares no bucket with probability 4e-7, one at 0.8 with 3e-5.
 
@@ -41,6 +42,8 @@ from foliospark.llm.shared import Written, arrow_rows, join_hot, slices
 from foliospark.llm.textcore import GOLD, U64, Words, ladder, mix
 
 BANDS, ROWS = 20, 4
+#: How often the members of a bucket that spans several groups are paired with one of them.
+STARS = 2
 #: Rows of one key that meet in one task, about.
 FAN = 512
 #: Nodes that a union-find holds before it hands on what it knows.
@@ -159,11 +162,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     # A class is a node; its numbers say nothing, so rows that share an id do no harm. One of its rows stands for its text.
     one = linkable.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.count("*").alias("rows"))
     classes = Written(one.select(F.monotonically_increasing_id().alias("node"), "set_key", "row.doc_id", "row.text_key", "n", "bands", "rows"), "classes")
-    banded = Written(classes.df.select("node", "n", F.explode("bands").alias("band")), "bands")
-    members = banded.df
-    buckets = members.groupBy("band").agg(F.min("node").alias("a"), F.count("*").alias("n_")).filter("n_ > 1")
-    stars = Written(join_hot(members, buckets, ["band"], members.count()).filter("node <> a").select("a", F.col("node").alias("b")).distinct(), "stars")
-    written = [signed, classes, banded, stars]
+    banded = Written(classes.df.select("node", "doc_id", "n", F.explode("bands").alias("band")), "bands")
+    members, entries = banded.df, banded.df.count()
+    written = [signed, classes, banded]
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """(node, text) of some nodes, once each; the join and the grouping are one shuffle of these texts."""
@@ -200,11 +201,29 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
 
         return with_both.select("a", "b", "x", "y").mapInArrow(confirm, "a long, b long")
 
-    first = Written(verified(stars.df), "links")
-    groups = components(first.df)
-    grouped = members.join(groups.df, "node", "left").select("node", "n", "band", F.coalesce("component", "node").alias("component"))
-    mixed = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_")).filter("low < high").select("band", "n_")
-    apart = Written(join_hot(grouped, mixed, ["band"], members.count()).select("node", "n", "component").distinct(), "apart")
+    def mixed(grouped: DataFrame, centre) -> DataFrame:
+        """Members of buckets that span several components, with the bucket's centre and that one's component."""
+        of = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n_"), F.min_by(F.struct("node", "component"), centre).alias("centre"))
+        return join_hot(grouped, of.filter("low < high").select("band", "n_", "centre"), ["band"], entries)
+
+    tried = linked = groups = None
+    grouped = members.withColumn("component", F.col("node"))
+    for turn in range(STARS):
+        # The smallest document first: others are often copies of it. Then others, by chance.
+        centre = F.struct("doc_id", "node") if turn == 0 else F.xxhash64("node", F.lit(turn))
+        ends = F.array_sort(F.array("node", "centre.node"))
+        star = mixed(grouped, centre).filter("component <> centre.component").select(ends[0].alias("a"), ends[1].alias("b")).distinct()
+        star = Written(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "stars")
+        links = Written(verified(star.df), "links")
+        written += [star, links]
+        tried, linked = (star.df, links.df) if tried is None else (tried.union(star.df), linked.union(links.df))
+        groups = components(linked)
+        written.append(groups)
+        joined = members.join(groups.df, "node", "left").select("node", "doc_id", "n", "band", F.coalesce("component", "node").alias("component"))
+        again = Written(joined, "grouped")
+        written.append(again)
+        grouped = again.df
+    apart = Written(mixed(grouped, F.col("node")).select("node", "n", "component").distinct(), "apart")
 
     def listed(batches):
         for batch in batches:
@@ -229,14 +248,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, threshold: tuple[int, int
     y = sized.df.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).alias("y")
     fits = F.expr(f"{den} * least(x.n, y.n) >= {num} * greatest(x.n, y.n) and (1 + least(x.n - x.rank, y.n - y.rank)) * {num + den} >= {num} * (x.n + y.n)")
     cross = x.join(y, F.expr("x.token = y.token and x.salt = y.salt and x.component < y.component") & fits)
-    pairs = Written(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(stars.df, ["a", "b"], "left_anti"), "cross")
+    pairs = Written(cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "cross")
     more = Written(verified(pairs.df), "links")
-    links = components(first.df.union(more.df))
+    links = components(linked.union(more.df))
     grown = classes.df.select("node", "set_key", "doc_id", F.col("rows").alias("rows_")).join(links.df, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = grown.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n_"))
     by_set = Written(join_hot(grown.drop("doc_id"), least, ["component"], classes.df.count()).select("set_key", "component_id", F.col("rows_").alias("n_")), "components")
     plain = Written(signed.df.drop("bands"), "rows").df
-    for table in (*written, first, groups, apart, tokens, prefix, sized, pairs, more, links):
+    for table in (*written, apart, tokens, prefix, sized, pairs, more, links):
         table.drop()
     out = join_hot(plain.filter("n_shingles > 0 and doc_id is not null"), by_set.df, ["set_key"], plain.count())
     alone = plain.filter("n_shingles = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))

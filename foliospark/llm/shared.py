@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.shipping import ship
 
 #: Rows of one Arrow batch sent to Python; texts are long, so Spark's own default of 10,000 is too many.
-ARROW_ROWS = 1024
+ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -35,6 +35,8 @@ def arrow_rows(spark: SparkSession) -> None:
     ship(spark)
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > ARROW_BYTES:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def delete_path(spark: SparkSession, path: str) -> None:
@@ -88,14 +90,20 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 #: A key that holds over 1 / HOT of all rows is hot; there are fewer than HOT such keys, whatever the table's size.
 HOT = 2000
+#: So few rows are no burden to a task.
+LEAST = 100
 
 
 def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], total: int, count: str = "n_") -> DataFrame:
     """Inner join with a `table` of one row a key that says in `count` how many of the `total` rows have it. Its hot keys,
-    fewer than HOT of them, are broadcast, so no task gets all rows of one; the others meet in a shuffle join."""
-    hot = table.filter(F.col(count) * HOT > total)
-    usual = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(table.filter(F.col(count) * HOT <= total).hint("merge"), keys)
-    return usual.unionByName(rows.join(F.broadcast(hot), keys))
+    fewer than HOT of them, are named on the driver and broadcast, so no task gets all rows of one; the others meet in a
+    shuffle join."""
+    hot = [r[0] for r in table.filter(F.col(count) * HOT > total).filter(F.col(count) > LEAST).select(keys[0]).distinct().collect()]
+    if not hot:
+        return rows.join(table.hint("merge"), keys)
+    named = F.col(keys[0]).isin(hot)
+    usual = rows.filter(~named).join(table.filter(~named).hint("merge"), keys)
+    return usual.unionByName(rows.filter(named).join(F.broadcast(table.filter(named)), keys))
 
 
 def strings(column: pa.Array) -> pa.Array:

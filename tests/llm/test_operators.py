@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import itertools
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from foliospark.llm import chat_format, decontamination, license_scan, near_dedup, packing, quality, shared, sharding, substring_dedup, textcore, topk_search, url_filter
+from foliospark.llm import chat_format, decontamination, license_scan, license_texts, near_dedup, packing, quality, shared, sharding, substring_dedup, textcore, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -460,17 +461,64 @@ def test_long_chats_share_turns_at_every_depth(spark):
 # 3
 
 
-def test_license_scan(spark):
-    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+LETTERS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+TEMPLATES = [("one", " ".join(words_of(12, 400))), ("two", " ".join(words_of(40, 401))), ("mit", "released under the mit license"), ("bag", "a b a b a b a c")]
+
+
+def words3(text):
+    return LETTERS.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+
+
+def covered(text, template):
+    """The largest share of a template's words covered by three-word hits aligned in order, near one diagonal, by trying all."""
+    w, t = words3(text), words3(template)
+    room = license_scan.slack(len(t))
+    hits = [(i, j) for i in range(len(w) - 2) for j in range(len(t) - 2) if w[i : i + 3] == t[j : j + 3]]
+    best = 0.0
+    for d in {i - j for i, j in hits}:
+        most: dict[tuple[int, int], int] = {}
+        for i, j in sorted((i, j) for i, j in hits if d <= i - j <= d + room):
+            most[i, j] = max([3, *(c + min(3, j - b) for (a, b), c in most.items() if a < i and b < j)])
+        best = max(best, max(most.values()) / len(t))
+    return best
+
+
+def test_license_scan(spark, monkeypatch):
+    r, rows = np.random.default_rng(15), []
+    for n in range(60):
+        body = words3(TEMPLATES[n % 4][1])
+        for _ in range(int(r.integers(0, 4))):
+            at = int(r.integers(len(body)))
+            body = (body[:at] + [f"x{n}"] + body[at:], body[:at] + body[at + 1 :], body[:at] + [f"y{n}"] + body[at + 1 :], body[at:] + body[:at])[int(r.integers(4))]
+        rows.append((n, " ".join(words_of(n % 5, n) + body + words_of(n % 3, n + 70)), "x"))
+    rows += [(70, "released under the aa bb under the mit cc dd the mit license", "x"), (71, "", "x"), (72, None, None), (73, "license", "x"), (74, "a b " * 60 + "a c", "x"), (75, " ".join([TEMPLATES[1][1]] * 3).upper(), "x")]
+    for most in (100_000, 3):  # broadcast, and shuffled
+        monkeypatch.setattr(license_scan, "MOST", most)
+        got = {x.doc_id: x for x in license_scan.scan(frame(spark, rows), TEMPLATES).collect()}
+        for i, text, _ in rows:
+            want = {label: covered(text, t) for label, t in TEMPLATES}
+            assert got[i].labels == ",".join(sorted(k for k, share in want.items() if share >= license_scan.COVERED)), (i, want)
+            assert abs(got[i].score - max([0.0, *(s for s in want.values() if s >= license_scan.COVERED)])) < 1e-9
+    assert got[70].labels == "" and [(s.first, s.last) for s in got[75].spans] == [(0, 40), (40, 80), (80, 120)]
+
+
+def test_license_scan_base_phrases(spark):
+    mit = license_texts.TEMPLATES[1][1]
     changed = mit.replace("obtaining a copy", "who gets hold of a copy")
-    rows = [(1, "CC BY cc-by, ALL rights  reserved", "x"), (2, None, None), (3, "", "x"), (4, f"x {mit}. y", "x"), (4, f"x {mit}. y", "x"), (5, changed, "x"), (6, "general public\nlicense", "x"), (None, mit, "x"), (7, "license version free of charge", "x"), (8, " ".join(words_of(20000, 8)) + " cc by", "x")]
-    got = sorted(license_scan.scan(frame(spark, rows)).collect(), key=lambda r: -1 if r.doc_id is None else r.doc_id)
-    short = [(r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in got]
-    assert short == [
-        (None, 27, 0, None, None, "", "mit"), (1, 7, 3, 0, 4, "cc-by,reserved", "cc-by,reserved"), (2, 0, 0, None, None, "", ""), (3, 0, 0, None, None, "", ""), (4, 29, 0, None, None, "", "mit"), (4, 29, 0, None, None, "", "mit"),
-        (5, 30, 0, None, None, "", "mit"), (6, 3, 1, 0, 0, "gpl", "gpl"), (7, 5, 0, None, None, "", ""), (8, 20002, 1, 20000, 20000, "cc-by", "cc-by"),
-    ]
-    assert all(0 <= r.score <= 1 for r in got) and [(s.first, s.last) for s in got[4].spans] == [(1, 28)]
+    phrases = {"cc-by": ["cc", "by"], "gpl": ["general", "public", "license"], "reserved": ["all", "rights", "reserved"]}
+    texts = ["CC BY cc-by, ALL rights  reserved", None, "", f"x {mit}. y", f"x {mit}. y", changed, "general public\nlicense", "license version free of charge", " ".join(words_of(20000, 8)) + " cc by", "cc cc by by all rights", "é" * 5000 + " general public license all rights reserved"]
+    rows = [(i, t, "x") for i, t in enumerate(texts)] + [(None, mit, "x")]
+    got = license_scan.scan(frame(spark, rows)).collect()
+    for x in got:
+        text = mit if x.doc_id is None else texts[x.doc_id]
+        w = words3(text)
+        found = [(i, label) for label, p in phrases.items() for i in range(len(w)) if w[i : i + len(p)] == p]
+        places = [i for i, _ in found]
+        base = {label for _, label in found}
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(w), len(found), min(places, default=None), max(places, default=None), ",".join(sorted(base)))
+        assert base <= set(x.labels.split(",")) | {""} and 0 <= x.score <= 1
+        assert ("mit" in x.labels.split(",")) == (text is not None and "hereby granted" in text)
+    assert len(got) == len(rows)
 
 
 # 5

@@ -1,19 +1,19 @@
 """Sharding by a K-d tree over document metadata, under the law `bytes`: shards of near equal size.
 
-A document is a point: the size of its text, its characters per byte (which tells scripts apart), and the CRC-32 of its
-text. A node that has to become n shards is split at the weighted median (by bytes; at the share floor(n / 2) / n) along
+A document is a point in what is known of its text: its size, its characters per byte (which tells scripts apart) and its
+lines per byte (which tells prose from lists). A node that has to become n shards is split at the weighted median (by bytes; at the share floor(n / 2) / n) along
 its widest dimension, as a share of the whole table's extent, until every leaf is one shard, so leaves reach the target
 of total bytes / shards. Medians are found in distributed histograms of BINS bins, narrowed until a bin outweighs EVEN of
 a side no more; the driver holds the bins of the nodes of one level, whatever the table's size.
 
-Coordinates are whole numbers that end in the CRC-32 (or the size), so equal texts share every coordinate and stay
-together. Where one group of equal texts straddles the median, the split moves to its nearer edge if that shifts at most
+Ties of a coordinate are broken by the text's CRC-32, which adds nothing to its extent; so equal texts share every coordinate
+and stay together. Where one group of equal texts straddles the median, the split moves to its nearer edge if that shifts at most
 EVEN of a side, else the node's next widest dimension is tried; only if all fail is the group itself divided, by a hash
 of doc_id, so a group that holds a third of all bytes doesn't unbalance the shards.
 
 Texts are read once, for their metadata; only that is written and shuffled.
 
-Defined cases: a null text has no bytes (size 1) and CRC 0; null ids hash alike; repeated rows are rows of their own;
+Defined cases: a null text has no bytes (size 1) and CRC 0; texts of any length are one row; null ids hash alike; repeated rows are rows of their own;
 if fewer distinct points than shards exist some shards stay empty; an empty table gives an empty result. Other
 columns are not read.
 """
@@ -31,16 +31,12 @@ from foliospark.llm.shared import Written
 SHARDS, BINS, EVEN = 8, 4096, 0.01
 #: Rows of one rank group at most, about.
 RANKED = 1 << 20
-#: Each dimension ends in enough of the text to tell most texts apart.
-DIMENSIONS = {
-    "size": "size * 4294967296 + text_crc32",
-    "density": "density * 4294967296 + text_crc32",
-    "content": "text_crc32 * 1073741824 + least(size, 1073741823)",
-}
+#: Each dimension's value; its key is that and the text's CRC-32.
+DIMENSIONS = ("size", "density", "lines")
 
 
 def _key(dim: str) -> Column:
-    return F.expr(DIMENSIONS[dim])
+    return F.expr(f"{dim} * 4294967296 + text_crc32")
 
 
 @dataclass
@@ -58,7 +54,9 @@ def metadata(docs: DataFrame) -> DataFrame:
     raw = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
     bytes_ = F.octet_length(raw).cast("long")
     density = F.when(bytes_ > 0, F.floor(F.length("text").cast("long") * 65535 / bytes_)).otherwise(0).cast("long")
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bytes_ + 1).alias("size"), F.crc32(raw).alias("text_crc32"), density.alias("density"))
+    breaks = F.length("text") - F.length(F.translate(F.col("text").cast("string"), "\n", ""))
+    lines = F.when(bytes_ > 0, F.floor(breaks.cast("long") * 65535 / bytes_)).otherwise(0).cast("long")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (bytes_ + 1).alias("size"), F.crc32(raw).alias("text_crc32"), density.alias("density"), lines.alias("lines"))
     return out.withColumn("id_hash", F.shiftrightunsigned(F.xxhash64("doc_id"), 2))
 
 
@@ -148,11 +146,11 @@ def kd_tree(rows: DataFrame, shards: int) -> list[Node]:
         stats = [F.sum("size").alias("total")] + [f(_key(d)).alias(f"{n}_{d}") for d in DIMENSIONS for n, f in (("low", F.min), ("high", F.max))]
         found = {r.node: r for r in here.groupBy("node").agg(*stats).collect()}  # a row for each node of the level
         if not done and "" in found:
-            extents = {d: max(1, found[""][f"high_{d}"] - found[""][f"low_{d}"]) for d in DIMENSIONS}
+            extents = {d: max(1, (found[""][f"high_{d}"] >> 32) - (found[""][f"low_{d}"] >> 32)) for d in DIMENSIONS}
         searches = []
         for n in level:
             if r := found.get(n.path):
-                span = lambda d: (r[f"high_{d}"] - r[f"low_{d}"]) / extents[d]  # noqa: B023, E731
+                span = lambda d: ((r[f"high_{d}"] >> 32) - (r[f"low_{d}"] >> 32)) / extents[d]  # noqa: B023, E731
                 n.dims = sorted(DIMENSIONS, key=span, reverse=True)
                 searches.append(Search(n, n.dims[0], r.total, r[f"low_{n.dims[0]}"], r[f"high_{n.dims[0]}"]))
         groups: dict[str, list] = {}

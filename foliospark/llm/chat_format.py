@@ -1,8 +1,12 @@
 """Chat formatting as a prefix tree: turns that conversations share from their start on are emitted once, depth-first.
 
-A turn reads `<|im_start|>role newline text<|im_end|> newline`. Control strings inside roles and texts (those of this and
-of other common templates) get a backslash after their first character, one more than they had, which unescape() takes
-out again; newlines in roles are escaped too. Characters (code points) are the units of all positions.
+A turn reads `<|im_start|>role newline text<|im_end|> newline`. Control strings inside roles and texts get a backslash after
+their first character, one more than they had, which unescape() takes out again; newlines in roles are escaped too. Control
+strings are `<|...|>` and `<...>` of up to 40 letters, digits, `_`, `-`, `:`, `.` and `/` (so `<<SYS>>` too), and `[INST]` and
+other names in capitals in brackets: those of this template and of others in use, and some more.
+
+The units of all positions are tokens if a tokenizer is named, else characters (code points). A turn's tokens are its own,
+whatever its context, so a shared turn has the same ones in every conversation.
 
 A node of the tree is a turn in its context. Conversations sort by the sequence of their turns' digests, which is the
 depth-first order: of a conversation, the turns beyond those it shares with the one before are its new nodes. Each
@@ -12,7 +16,8 @@ Nodes carry their number and place in the emitted stream, their position id (as
 loss mask inside them, and the intervals of the stream that they attend to besides themselves: their ancestors', merged
 where these adjoin; the same as intervals of node numbers.
 
-Defined cases: null texts and roles are empty; turns sort by (turn, role, text), nulls first; rows without conversation
+Defined cases: null texts and roles are empty; texts and conversations of any length are formatted whole, a conversation is one
+row (it is one sequence); turns sort by (turn, role, text), nulls first; rows without conversation
 id form one conversation of their own, with a null id; repeated rows are turns of their own; an empty table gives an empty result. Other
 columns are not read.
 """
@@ -24,15 +29,18 @@ import pickle
 import re
 from bisect import bisect_right
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.packing import encoder
 from foliospark.llm.shared import Written, arrow_rows
 
 DIGEST = 12
 START, END = "<|im_start|>", "<|im_end|>"
-_TAIL = r"/?s>|/?INST\]|</?SYS>>|\|[A-Za-z_]+\|>"
+#: What follows the first character of a control string; without `<`, `[` and backslashes, so escapes don't meet each other.
+_TAIL = r"\|[^\s<>|\[\]\\]{1,40}\|>|[/\w.:｜▁-]{1,40}>|/?[A-Z_]{1,40}\]"
 _RAW = re.compile(rf"([<\[])(\\*)(?={_TAIL})")
 _ESCAPED = re.compile(rf"([<\[])\\(\\*)(?={_TAIL})")
 _TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
@@ -68,9 +76,9 @@ def parsed(stream: str) -> list[tuple[str, str]]:
 
 _SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 _SPANS = "array<struct<first:bigint,last:bigint>>"
-_NODE = f"node long, depth int, segment string, chars long, position long, place long, loss {_SPANS}, attends {_SPANS}, above {_SPANS}, leaf binary"
-_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), _SPAN, _SPAN, _SPAN, pa.binary()]
-_NAMES = ["node", "depth", "segment", "chars", "position", "place", "loss", "attends", "above", "leaf"]
+_NODE = f"node long, depth int, segment string, ids array<int>, units long, position long, place long, loss {_SPANS}, attends {_SPANS}, above {_SPANS}, leaf binary"
+_TYPES = [pa.int64(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), _SPAN, _SPAN, _SPAN, pa.binary()]
+_NAMES = ["node", "depth", "segment", "ids", "units", "position", "place", "loss", "attends", "above", "leaf"]
 #: Nodes of one Arrow batch: a node's intervals may be many.
 ROWS = 1024
 
@@ -102,25 +110,26 @@ def _runs(starts: list[int], ends: list[int]) -> list[tuple[int, int]]:
 
 
 def _walked(chats):
-    """From (key, digests, segments, spans) in order: the rows of the new nodes, as if nothing came before. The last row
-    is a pickle of what the neighbours need: the first and the last digests, the number of nodes and characters, and the
+    """From (key, digests, segments, ids, spans) in order: the rows of the new nodes, as if nothing came before. The last row
+    is a pickle of what the neighbours need: the first and the last digests, the number of nodes and units, and the
     last conversation's nodes, their starts and their ends."""
     first = last = b""
     nodes, starts, ends = [], [], []  # of the conversation at hand
     number = at = 0
-    for key, digests, segments, spans in chats:
+    for key, digests, segments, ids, spans in chats:
         common = _shared(last, digests)
         first = first or digests
         del nodes[common:], starts[common:], ends[common:]
         said, over = _runs(starts, ends), _runs(nodes, [n + 1 for n in nodes])
         position, new, low = sum(b - a for a, b in said), at, number
         for depth in range(common, len(segments)):
-            segment, span = segments[depth], spans[depth]
+            segment, own, span = segments[depth], ids and ids[depth], spans[depth]
+            units = len(segment if own is None else own)
             above = _joined(over, [(low, number)] if number > low else [])
-            yield (number, depth + 1, segment, len(segment), position, at, [] if span is None else [span], _joined(said, [(new, at)] if at > new else []), above, key if depth + 1 == len(segments) else None)
+            yield (number, depth + 1, segment, own, units, position, at, [] if span is None else [span], _joined(said, [(new, at)] if at > new else []), above, key if depth + 1 == len(segments) else None)
             nodes.append(number)
             starts.append(at)
-            position, at, number = position + len(segment), at + len(segment), number + 1
+            position, at, number = position + units, at + units, number + 1
             ends.append(at)
         last = digests
     if first:
@@ -183,10 +192,11 @@ def _structs(spans: list[tuple[int, int]]) -> list[dict]:
     return [{"first": a, "last": b} for a, b in spans]
 
 
-def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes, leaves). nodes: node (its number in the stream), depth, segment, chars, position (its first character's),
-    place (in the stream), loss (spans inside the segment), attends (array of stream intervals, last excluded), above (the
-    same of node numbers). leaves: conv_id and the node of its last turn."""
+def prefix_tree(conversations: DataFrame, tokenizer: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, leaves). nodes: node (its number in the stream), depth, segment, ids (its tokens; null without tokenizer),
+    units (how many tokens or characters it has), position (its first unit's; the others' follow), place (in the stream of
+    units), loss (spans of characters inside the segment), attends (array of stream intervals, last excluded), above (the
+    same of node numbers). leaves: conv_id and the node of its last turn. tokenizer: the path of a `tokenizers` file."""
     spark = conversations.sparkSession
     arrow_rows(spark)
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
@@ -195,18 +205,23 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     grouped = turns.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list("t")), lambda t: F.struct(t.role.alias("role"), t.text.alias("text"))).alias("turns"))
 
     def format_(batches):
-        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), _SPAN]
+        types = [pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), _SPAN]
+        encode = encoder(tokenizer) if tokenizer else None
         for batch in batches:
             rows = []
             for conv, own in zip(batch.column("conv_id").to_pylist(), batch.column("turns").to_pylist(), strict=True):
                 pieces = [formatted(t["role"], t["text"]) for t in own]
                 digests = b"".join(hashlib.blake2b(p.encode("utf-8", "surrogatepass"), digest_size=DIGEST).digest() for p, _, _ in pieces)
                 spans = [{"first": a, "last": b} if t["role"] == "assistant" else None for t, (_, a, b) in zip(own, pieces, strict=True)]
-                rows.append((conv, hashlib.blake2b(digests, digest_size=16).digest(), digests, [p for p, _, _ in pieces], spans))
-            yield _batch(rows, types, ["conv_id", "leaf", "digests", "segments", "spans"])
-
-    turned = Written(grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(format_, f"conv_id long, leaf binary, digests binary, segments array<string>, spans {_SPANS}"), "turns").df
-    unique = turned.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("digests", "segments", "spans")])
+                ids = None
+                if encode:
+                    flat, counts = encode([p for p, _, _ in pieces])
+                    ids = np.split(flat.astype(np.int32), np.cumsum(counts)[:-1])
+                rows.append((conv, hashlib.blake2b(digests, digest_size=16).digest(), digests, [p for p, _, _ in pieces], ids, spans))
+            yield _batch(rows, types, ["conv_id", "leaf", "digests", "segments", "ids", "spans"])
+
+    turned = Written(grouped.select(F.col("conv_id").cast("long").alias("conv_id"), "turns").mapInArrow(format_, f"conv_id long, leaf binary, digests binary, segments array<string>, ids array<array<int>>, spans {_SPANS}"), "turns").df
+    unique = turned.groupBy("leaf").agg(*[F.first(c).alias(c) for c in ("digests", "segments", "ids", "spans")])
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def walk(batches):
@@ -217,23 +232,23 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
 
         def chats():
             for batch in batches:
-                for row in zip(*[batch.column(c) for c in ("leaf", "digests", "segments", "spans")], strict=True):
-                    key, digests, segments, spans = (x.as_py() for x in row)
-                    yield key, digests, segments, [s and (s["first"], s["last"]) for s in spans]
+                for row in zip(*[batch.column(c) for c in ("leaf", "digests", "segments", "ids", "spans")], strict=True):
+                    key, digests, segments, ids, spans = (x.as_py() for x in row)
+                    yield key, digests, segments, ids, [s and (s["first"], s["last"]) for s in spans]
 
         rows = []
         for row in _walked(chats()):
             if isinstance(row, bytes):
                 rows.append((*[None] * len(_NAMES), part, row))
             else:
-                rows.append((*row[:6], *[_structs(x) for x in row[6:9]], row[9], part, None))
+                rows.append((*row[:7], *[_structs(x) for x in row[7:10]], row[10], part, None))
             if len(rows) == ROWS:
                 yield _batch(rows, types, names)
                 rows = []
         if rows:
             yield _batch(rows, types, names)
 
-    order = unique.repartitionByRange(width, "digests").sortWithinPartitions("digests").select("leaf", "digests", "segments", "spans")
+    order = unique.repartitionByRange(width, "digests").sortWithinPartitions("digests").select("leaf", "digests", "segments", "ids", "spans")
     walked = Written(order.mapInArrow(walk, _NODE + ", part int, edge binary"), "walked").df
     # A row for each range, of one conversation's digests and places.
     edges = walked.filter("edge is not null").select("part", "edge").orderBy("part").toLocalIterator()
@@ -243,10 +258,10 @@ def prefix_tree(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
         for batch in batches:
             rows = []
             for row in zip(*[batch.column(c).to_pylist() for c in [*_NAMES, "part"]], strict=True):
-                node, depth, segment, chars, position, place, loss, attends, above, leaf, part = row
+                node, depth, segment, ids, units, position, place, loss, attends, above, leaf, part = row
                 c, nodes, places = sent.value[part]
                 if node >= c:
-                    rows.append((nodes.point(node), depth, segment, chars, position, places.point(place), loss, _structs(places.spans(_pairs(attends))), _structs(nodes.spans(_pairs(above))), leaf))
+                    rows.append((nodes.point(node), depth, segment, ids, units, position, places.point(place), loss, _structs(places.spans(_pairs(attends))), _structs(nodes.spans(_pairs(above))), leaf))
             yield _batch(rows, _TYPES, _NAMES)
 
     placed = Written(walked.filter("edge is null").drop("edge").mapInArrow(shift, _NODE), "nodes").df

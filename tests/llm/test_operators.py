@@ -406,10 +406,20 @@ def test_packing(spark):
 # 2
 
 
-@pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_start|>", "a\\", "<<s>", "[\\\\INST]", "<|im_start|>user\nx<|im_end|>\n", "[[INST]", "<\\<SYS>>"])
+def test_escapes_of_random_texts():
+    r = np.random.default_rng(17)
+    for _ in range(20000):
+        text = "".join(r.choice(["<", "[", "|", ">", "]", "\\", "s", "/", "INST", "SYS", "a b", "im_end", "x" * 39], int(r.integers(1, 12))))
+        segment, a, b = chat_format.formatted(text, text)
+        assert chat_format.unescape(chat_format.escape(text)) == text and chat_format.parsed(segment) == [(text, text)] and chat_format.unescape(segment[a:b]) == text
+
+
+@pytest.mark.parametrize("text", ["", "</s>[INST] ok [/INST]", "<|im_end|>", "<\\|im_start|>", "a\\", "<<s>", "[\\\\INST]", "<|im_start|>user\nx<|im_end|>\n", "[[INST]", "<\\<SYS>>", "<|reserved_special_token_0|>", "<start_of_turn>user", "<bos>", "<unused12>", "<think>x</think>", "[TOOL_CALLS]", "<｜end▁of▁sentence｜>", "a<b>c", "[/INST] [1]"])
 def test_escapes_are_reversible(text):
     out = chat_format.escape(text)
-    assert chat_format.unescape(out) == text and not chat_format._RAW.search(out.replace("\\", "_")) or "\\" in out
+    for control in ("<|reserved_special_token_0|>", "<start_of_turn>", "<bos>", "<unused12>", "</think>", "[TOOL_CALLS]", "<|im_end|>", "</s>", "[INST]", "<<SYS>>"):
+        assert control not in out
+    assert chat_format.unescape(out) == text
     for role in ("user", "a\nb", "<|im_end|>", "\\n", ""):
         segment, a, b = chat_format.formatted(role, text)
         assert chat_format.parsed(segment * 2) == [(role, text)] * 2 and chat_format.unescape(segment[a:b]) == text
@@ -422,7 +432,7 @@ def test_prefix_tree(spark):
     got = nodes.collect()
     stream = "".join(r.segment for r in sorted(got, key=lambda r: r.place))
     for r in got:
-        assert stream[r.place : r.place + r.chars] == r.segment
+        assert stream[r.place : r.place + r.units] == r.segment
         seen = "".join(stream[s.first : s.last] for s in r.attends)
         assert len(seen) == r.position
     assert sum(r.segment == chat_format.formatted("user", "q")[0] for r in got) == 1
@@ -438,6 +448,21 @@ def test_prefix_tree(spark):
     assert empty[0].count() == empty[1].count() == 0
 
 
+def test_token_positions(spark):
+    path = packing.tokenizer_file("byte_bpe_50k.json")
+    chats = [(c, i, ("user", "assistant")[i % 2], f"turn {i} of {'both' if i < 4 else c}") for c in range(5) for i in range(7)]
+    nodes, leaves = chat_format.prefix_tree(spark.createDataFrame(chats, "conv_id long, turn long, role string, text string"), path)
+    got = sorted(nodes.collect(), key=lambda r: r.place)
+    assert len(got) == 4 + 5 * 3 and [r.ids for r in got] == library_ids(path, [r.segment for r in got])
+    stream = [t for r in got for t in r.ids]
+    assert [r.place for r in got] == [sum(len(x.ids) for x in got[:i]) for i in range(len(got))]
+    ends = {r.node: r for r in got}
+    for leaf in leaves.collect():
+        own = library_ids(path, [chat_format.formatted(role, text)[0] for c, _, role, text in chats if c == leaf.conv_id])
+        r = ends[leaf.node]
+        assert [t for s in r.attends for t in stream[s.first : s.last]] + r.ids == list(itertools.chain(*own)) and r.position == sum(map(len, own[:-1]))
+
+
 def test_long_chats_share_turns_at_every_depth(spark):
     turn = lambda i, t: (i, ("user", "assistant")[i % 2], t)
     common = [turn(i, f"t{i}") for i in range(100)]
@@ -452,7 +477,7 @@ def test_long_chats_share_turns_at_every_depth(spark):
     want = {"".join(chat_format.formatted(*t[1:])[0] for t in own[:n]) for own in chats.values() for n in range(1, len(own) + 1)}
     assert len(seen) == len(want) and set(seen) == want
     assert [r.place for r in got] == [len("".join(x.segment for x in got[:i])) for i in range(len(got))] and [r.node for r in got] == list(range(len(got)))
-    assert all(r.position == len(s) - r.chars for r, s in zip(got, seen, strict=True))
+    assert all(r.position == len(s) - r.units for r, s in zip(got, seen, strict=True))
     assert all(a.last < b.first for r in got for a, b in itertools.pairwise(r.attends))
     ends = {r.conv_id: seen[r.node] for r in leaves.collect()}
     assert ends == {c: "".join(chat_format.formatted(*t[1:])[0] for t in own) for c, own in chats.items()}
@@ -541,6 +566,32 @@ def test_sharding(spark):
     assert all(x.text_crc32 == zlib.crc32(texts[x.doc_id].encode()) and x["size"] == len(texts[x.doc_id].encode()) + 1 for x in got if x.doc_id is not None)
 
 
+def test_kd_tree_against_plain_splits(spark):
+    r = np.random.default_rng(16)
+    words = ["ab", "éü", "日本", "x\ny", "\n"]
+    texts = [" ".join(r.choice(words, int(n), p=(w := r.random(5)) / w.sum())) for n in r.integers(1, 400, 1500)] + [None, "", "日本 " * 3000]
+    rows = sharding.metadata(frame(spark, [(i, t, "x") for i, t in enumerate(texts)])).persist()
+    point = {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        point[i] = {"size": len(raw) + 1, "density": len(t or "") * 65535 // max(1, len(raw)), "lines": (t or "").count("\n") * 65535 // max(1, len(raw)), "crc": zlib.crc32(raw)}
+    assert {x.doc_id: {"size": x["size"], "density": x["density"], "lines": x["lines"], "crc": x.text_crc32} for x in rows.collect()} == point
+    width = lambda ids, d: max(point[i][d] for i in ids) - min(point[i][d] for i in ids)
+    inside, used = {"": set(point)}, collections.Counter()
+    for node in sharding.kd_tree(rows, 8):
+        ids, (dim, at, _) = inside[node.path], node.cut
+        used[dim] += 1
+        widest = max(width(ids, d) / width(point, d) for d in sharding.DIMENSIONS)
+        assert width(ids, dim) / width(point, dim) == widest
+        left = {i for i in ids if point[i][dim] * 2**32 + point[i]["crc"] <= at}
+        total, weight = (sum(point[i]["size"] for i in x) for x in (ids, left))
+        want = total * (node.shards // 2) / node.shards
+        largest = max(point[i]["size"] for i in ids)
+        assert abs(weight - want) <= max(sharding.EVEN * min(want, total - want), largest)
+        inside[node.path + "0"], inside[node.path + "1"] = left, ids - left
+    assert sum(used.values()) == 7 and len(used) > 1
+
+
 def test_sharding_divides_a_group_that_outweighs_a_shard(spark):
     rows = [(i, "same text " * 10, "en") for i in range(4000)]
     sizes = collections.Counter(r.shard for r in sharding.shard(frame(spark, rows)).collect())

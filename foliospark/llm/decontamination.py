@@ -10,11 +10,11 @@ A document with fewer words than an item is its only window for that item. Its s
 shingles that items of that size have; where this reaches the threshold, all of these items are verified exactly.
 
 Only windows that hold a shingle of an item of their size are fingerprinted: others have similarity 0. Items are
-handled in blocks of ITEMS, a pass over the documents each, so the index a worker holds is bounded, however large the
-benchmark. The documents aren't shuffled.
+handled in blocks of ITEMS (and ITEM_BYTES), one after another, each a pass over the documents whose result is written
+before the next begins, so a worker holds one block's index, however large the benchmark. The documents aren't shuffled.
 
 Defined cases: null and empty texts, and items of fewer than five words, match nothing; repeated rows are judged alike;
-items with equal words are all reported; ties between windows go to the first; null ids pass through; empty tables give
+items with equal words are all reported; texts and items of any length are judged whole; ties between windows go to the first; null ids pass through; empty tables give
 an empty result (no hits).
 """
 
@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliospark.llm.shared import arrow_rows, slices
+from foliospark.llm.shared import Written, arrow_rows, slices
 from foliospark.llm.textcore import ALNUM, GOLD, U64, Words, mix, rolling
 
 SHINGLE, THRESHOLD = 5, 0.8
 BITS, BLOCKS, RADIUS = 128, 8, 31
-ITEMS = 2000
+ITEMS, ITEM_BYTES = 2000, 8 << 20
 HIT = "array<struct<item_id:bigint,similarity:double,first_word:int,n_words:int>>"
 _HIT = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("first_word", pa.int32()), ("n_words", pa.int32())]))
 
@@ -152,10 +152,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: st
     names = [c for c in docs.columns if c != to]
     out = docs.select(*[f"`{c}`" for c in names]).withColumn(to, F.array().cast(HIT))
     items = benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
-    block: list[tuple[int, str]] = []
+    schema = T.StructType([*[f for f in docs.schema.fields if f.name != to], T.StructField(to, T._parse_datatype_string(HIT))])
 
-    def with_block(df: DataFrame, held: list[tuple[int, str]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(held)  # ITEMS texts at most
+    def with_block(df: DataFrame, held: list[tuple[int, str]]):
+        sent = spark.sparkContext.broadcast(held)  # ITEMS texts of ITEM_BYTES, or one longer text
 
         def run(batches):
             index = Index(sent.value)
@@ -164,14 +164,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", to: st
                     new = [a + [dict(zip(("item_id", "similarity", "first_word", "n_words"), h, strict=True)) for h in b] for a, b in zip(part.column(to).to_pylist(), index.hits(part.column(text)), strict=True)]
                     yield pa.RecordBatch.from_arrays([part.column(c) for c in names] + [pa.array(new, _HIT)], names=[*names, to])
 
-        schema = T.StructType([*[f for f in df.schema.fields if f.name != to], T.StructField(to, T._parse_datatype_string(HIT))])
-        return df.mapInArrow(run, schema)
+        return df.mapInArrow(run, schema), sent
 
+    block: list[tuple[int, str]] = []
+    size, before = 0, None
     for row in items.toLocalIterator():  # a block at a time, never the whole benchmark
+        if block and (len(block) == ITEMS or size + len(row.text) > ITEM_BYTES):
+            found, sent = with_block(out, block)
+            done = Written(found, "leaks")
+            sent.destroy()
+            if before is not None:
+                before.drop()
+            out, before, block, size = done.df, done, [], 0
         block.append((row.item_id, row.text))
-        if len(block) == ITEMS:
-            out, block = with_block(out, block), []
-    return with_block(out, block) if block else out
+        size += len(row.text)
+    return with_block(out, block)[0] if block else out
 
 
 def op1_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ dot products of whole texts with the weights.
 The training set is a bounded sample, as a parameter: the SAMPLE labelled rows with the smallest id hashes. So one task
 can train, with bounded memory, whatever the corpus holds. Every document is scored.
 
-Defined cases: null and empty texts score by the bias alone; null labels and null ids do not train; of rows that share
+Defined cases: null and empty texts score by the bias alone; texts of any length are scored whole; ties in the order of training go by id and label; null labels and null ids do not train; of rows that share
 an id one trains, the first by its features; repeated rows score alike; without any training row every score is 0.5 (predicted 1); an empty table gives an empty result.
 """
 

@@ -5,11 +5,14 @@ counts over the distinct URLs pick each rule's rarest token; URL tokens then fet
 token, and only candidates run their expression. All of it is DataFrame work. Host and path rules come first: the
 longest that fits decides. Then a blocking pattern, then an allowing one; a URL that nothing matches is allowed.
 
-Verdicts depend on the URL alone, so each distinct URL is judged once, which also keeps a hot URL to one row.
+Verdicts depend on the URL alone, so the patterns judge each distinct URL once. The verdicts go back to the rows by a
+join, but not to rows without URL; those of the URLs that a 2000th of all rows have, or more, and there are at most 2000
+of these, are broadcast, so no task gets all rows of a hot URL.
 
 Defined cases: null URLs and URLs without :// have empty host and path; they can match no host rule, and only non-null
-ones can match patterns; repeated rows are judged alike; other columns aren't read by the query; an empty table gives
-an empty result.
+ones can match patterns; URLs of any length are judged whole; of host rules equally long the last in order decides, of
+patterns the first; repeated rows are judged alike; other columns pass through, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm.shared import HOT, LEAST, Written
+
 #: (verdict, host, path)
 HOST_RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "example.net", "/de/8"), ("allow", "net", "/de/"), ("block", "org", "/es/")]
 #: (name, verdict, expression on the lower-cased URL, literal tokens that any match holds)
@@ -55,11 +60,15 @@ def by_host_rules(what, rules=HOST_RULES) -> Column:
     return out
 
 
-def pattern_verdicts(urls: DataFrame, rules=PATTERN_RULES) -> DataFrame:
-    """(url, pattern, pattern_verdict) for the distinct URLs that a pattern rule matches."""
-    spark = urls.sparkSession
-    distinct = urls.filter("url is not null").select("url").distinct().withColumn("low_", _lower(F.col("url")))
-    tokens = distinct.select("url", "low_", F.explode(F.array_distinct(F.regexp_extract_all("low_", F.lit("[a-z0-9_]+"), 0))).alias("token"))
+def counted_urls(urls: DataFrame) -> DataFrame:
+    """(url, low, n): the distinct URLs, in lower case too, and how many rows have each."""
+    return urls.filter("url is not null").groupBy("url").agg(F.count("*").alias("n")).select("url", _lower(F.col("url")).alias("low"), "n")
+
+
+def pattern_verdicts(distinct: DataFrame, rules=PATTERN_RULES) -> DataFrame:
+    """(url, pattern, pattern_verdict) for the URLs of a written table of counted_urls() that a pattern rule matches."""
+    spark = distinct.sparkSession
+    tokens = distinct.select("url", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit("[a-z0-9_]+"), 0))).alias("token"))
     for name, verdict, expression, literals in rules:
         if verdict not in ("allow", "block") or not literals or any(not re.fullmatch("[a-z0-9_]+", t) for t in literals):
             raise ValueError(f"rule {name} needs a verdict and literal tokens")
@@ -68,7 +77,7 @@ def pattern_verdicts(urls: DataFrame, rules=PATTERN_RULES) -> DataFrame:
     counts = tokens.join(asked.select("token").distinct(), "token").groupBy("token").agg(F.count("*").alias("n"))
     rarest = asked.join(counts, "token", "left").groupBy("number").agg(F.min(F.struct(F.coalesce("n", F.lit(0)), "token")).alias("r")).select("number", "r.token")
     index = rarest.join(table.drop("literals"), "number")
-    matched = tokens.join(index, "token").filter(F.expr("low_ rlike expression"))
+    matched = tokens.join(index, "token").filter(F.expr("low rlike expression"))
     first = F.min(F.struct(F.when(F.col("pattern_verdict") == "block", 0).otherwise(1).alias("o"), "number", "pattern", "pattern_verdict"))
     return matched.groupBy("url").agg(first.alias("m")).select("url", "m.pattern", "m.pattern_verdict")
 
@@ -77,11 +86,21 @@ def judge(pages: DataFrame, host_rules=HOST_RULES, pattern_rules=PATTERN_RULES)
     """`pages` (with `url`) plus host, path, rule, pattern and verdict, which replace input columns of the same name."""
     added = ["host", "path", "rule", "pattern", "verdict"]
     own = [c for c in pages.columns if c not in added]
-    parts = pages.select(*[F.col(f"`{c}`") for c in own], host().alias("host"), path().alias("path"))
-    ruled = parts.withColumns({"rule": by_host_rules(lambda r: r[1] + r[2], host_rules), "by_rule_": by_host_rules(lambda r: r[0], host_rules)})
-    found = pattern_verdicts(pages, pattern_rules)
-    out = ruled.join(found, "url", "left").withColumn("verdict", F.coalesce("by_rule_", "pattern_verdict", F.lit("allow")))
-    return out.select(*[F.col(f"`{c}`") for c in own + added])
+    # The other columns in one, so that their names clash with none made here.
+    parts = pages.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("own"), "url", host().alias("host"), path().alias("path"))
+    ruled = parts.withColumns({"rule": by_host_rules(lambda r: r[1] + r[2], host_rules), "ruled": by_host_rules(lambda r: r[0], host_rules)})
+    distinct = Written(counted_urls(pages), "urls").df
+    rows = distinct.agg(F.sum("n")).first()[0] or 0
+    found = Written(pattern_verdicts(distinct, pattern_rules), "matched").df
+    hot = [r.url for r in distinct.filter((F.col("n") * HOT > rows) & (F.col("n") > LEAST)).select("url").collect()]  # fewer than HOT
+    is_hot = F.coalesce(F.col("url").isin(hot), F.lit(False)) if hot else F.lit(False)
+    usual = ruled.filter(F.col("url").isNotNull() & ~is_hot).join(found.filter(~is_hot), "url", "left")
+    none = F.lit(None).cast("string")
+    out = usual.unionByName(ruled.filter("url is null").withColumns({"pattern": none, "pattern_verdict": none}))
+    if hot:
+        out = out.unionByName(ruled.filter(is_hot).join(F.broadcast(found.filter(is_hot)), "url", "left"))
+    out = out.withColumn("verdict", F.coalesce("ruled", "pattern_verdict", F.lit("allow")))
+    return out.select(*[F.col(f"own.`{c}`").alias(c) for c in own], *added)
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:

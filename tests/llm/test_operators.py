@@ -271,6 +271,45 @@ def test_documents_shorter_than_the_item(spark):
     assert all((h.first_word, h.n_words) == (0, len(texts[r.doc_id])) for r in got for h in r.leaks)
 
 
+def test_decontamination_against_brute_force():
+    """Of changed passages whose best window is similar enough, nearly all are found; no other ones are."""
+    r = np.random.default_rng(18)
+    items = [(i, words_of(int(n), 700 + i)) for i, n in enumerate(r.integers(12, 80, 40))]
+    index = decontamination.Index([(i, " ".join(w)) for i, w in items])
+    grams = lambda w: collections.Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    asked = caught = 0
+    for n in range(240):
+        item, words = items[n % 40]
+        new = list(words)
+        for _ in range(int(r.integers(0, 3))):
+            new[int(r.integers(len(new)))] = f"new{n}"
+        text = words_of(n % 30, 800 + n) + new + words_of(n % 17, 1100 + n)
+        hits = {h[0]: h[1] for h in index.hits(pa.array([" ".join(text)]))[0]}
+        size, want = len(words), {}
+        for i, own in items:
+            theirs = grams(own)
+            windows = [grams(text[a : a + len(own)]) for a in range(max(1, len(text) - len(own) + 1))]
+            best = max(sum((x & theirs).values()) / sum((x | theirs).values()) for x in windows)
+            if best >= decontamination.THRESHOLD:
+                want[i] = best
+        assert set(hits) <= set(want) and all(hits[i] <= want[i] + 1e-9 for i in hits) and size
+        asked += len(want)
+        caught += len(hits)
+    assert asked > 100 and caught / asked >= 0.98, (caught, asked)
+
+
+def test_very_long_texts(spark):
+    long, passage = words_of(150_000, 19), words_of(30, 50)
+    text = " ".join(long + passage)
+    rows = [(1, text, "x"), (2, "y" * 2_000_000, "x")]
+    leaks = decontamination.find_leaks(frame(spark, rows), frame(spark, [(1, " ".join(passage))], "item_id long, text string")).orderBy("doc_id").collect()
+    assert [[(h.item_id, h.first_word) for h in r.leaks] for r in leaks] == [[(1, 150_000)], []]
+    assert [(r.doc_id, r["size"]) for r in sharding.shard(frame(spark, rows), 2).orderBy("doc_id").collect()] == [(1, len(text) + 1), (2, 2_000_001)]
+    assert quality.score(frame(spark, rows), np.zeros(quality.BUCKETS, np.float32)).count() == 2
+    nodes, leaves = chat_format.prefix_tree(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string"))
+    assert chat_format.read_back(nodes, leaves).first().formatted_chars == len(chat_format.formatted("user", text)[0])
+
+
 def test_hamming_blocks_find_every_print_in_the_radius():
     index = decontamination.Index([(i, " ".join(words_of(20, 200 + i))) for i in range(40)])
     r = np.random.default_rng(3)
@@ -612,7 +651,19 @@ def test_url_filter(spark):
     }
     assert url_filter.judge(pages).count() == len(urls) + 1 and url_filter.judge(pages.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        url_filter.pattern_verdicts(pages, [("x", "block", "a", [])])
+        url_filter.judge(pages, pattern_rules=[("x", "block", "a", [])])
+
+
+def test_url_filter_hot_urls_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "HOT", 5)
+    monkeypatch.setattr(url_filter, "LEAST", 0)
+    urls = ["https://a.org/fr?utm_source=feed"] * 40 + ["https://a.org/plain"] * 30 + [None] * 20 + [f"https://a{i}.org/docs/x" for i in range(9)] + ["https://b.com/" + "x" * 200_000 + "/cart"]
+    rows = [(i, u, "own", "low", "ruled", 5) for i, u in enumerate(urls)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, own string, low string, ruled string, n int")
+    got = url_filter.judge(pages).collect()
+    want = {i: ("block", "tracked-copy") if i < 40 else ("allow", None) if i < 90 else ("allow", "docs") if i < 99 else ("block", "cart") for i in range(len(urls))}
+    assert {r.page_id: (r.verdict, r.pattern) for r in got} == want and len(got) == len(urls)
+    assert all((r.own, r.low, r.ruled, r.n) == ("own", "low", "ruled", 5) for r in got)
 
 
 # 9

@@ -41,26 +41,32 @@ def marked_lines(books: DataFrame) -> DataFrame:
     )
 
 
-def parse_chapters(books: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(book, markdown) to (books: book, frontmatter, preamble, error), (chapters: book, index, chapter_id, title, src, body)."""
+def parsed(books: DataFrame) -> DataFrame:
+    """(book, markdown) to book, frontmatter, preamble, error, chapters (index, chapter_id, title, src, body). One shuffle, by book."""
     rows = marked_lines(books)
     said = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("ln", "line")))), lambda x: F.concat(x.line, F.lit("\n"))), "")
     is_open = F.coalesce(F.col("previous") == "start", F.lit(False))
-    front = said(F.col("front") & (F.col("t") != "---"))
-    preamble = said(~F.col("front") & F.col("marker").isNull() & (F.col("starts") == 0))
     lost = F.when((F.col("marker") == "start") & is_open, F.concat(F.lit('chapter "'), "open_id", F.lit('" has no matching chapter-end')))
     wrong = F.when(F.col("odd"), F.concat(F.lit("malformed chapter-"), "marker", F.lit(" marker: "), "t"))
     reason = F.coalesce(lost, wrong)
-    last = F.max(F.struct("ln", F.coalesce("marker", "previous").alias("state"), F.coalesce("id", "open_id").alias("id")))
-    whole = rows.groupBy("book").agg(front.alias("frontmatter"), trim_white(preamble).alias("preamble"), F.min_by(reason, F.when(reason.isNotNull(), F.col("ln"))).alias("error"), last.alias("last"))
-    at_end = F.when(F.col("last.state") == "start", F.concat(F.lit('chapter "'), "last.id", F.lit('" has no matching chapter-end')))
-    state = whole.select("book", "frontmatter", "preamble", F.coalesce("error", at_end).alias("error"))
-    text = F.col("marker").isNull() & is_open
-    found = rows.filter("starts > 0").groupBy("book", "starts").agg(
+    runs = rows.groupBy("book", "starts").agg(
+        said(F.col("front") & (F.col("t") != "---")).alias("frontmatter"),
+        said(~F.col("front") & F.col("marker").isNull() & (F.col("starts") == 0)).alias("preamble"),
+        F.min(F.when(reason.isNotNull(), F.struct("ln", reason.alias("reason")))).alias("error"),
+        F.max(F.struct("ln", F.coalesce("marker", "previous").alias("state"), F.coalesce("id", "open_id").alias("id"))).alias("last"),
         F.max(F.when(F.col("marker") == "start", F.struct("id", _attr("title").alias("title"), _attr("src").alias("src")))).alias("m"),
-        said(text).alias("body"),
+        said(F.col("marker").isNull() & is_open).alias("body"),
         F.bool_or(F.coalesce((F.col("marker") == "end") & is_open, F.lit(False))).alias("closed"),
     )
-    index = F.row_number().over(Window.partitionBy("book").orderBy("starts"))
-    chapters = found.filter("closed").withColumn("index", index).select("book", "index", F.col("m.id").alias("chapter_id"), "m.title", "m.src", "body")
-    return state, chapters
+    at_start = lambda c: F.coalesce(F.max(F.when(F.col("starts") == 0, F.col(c))), F.lit("")).alias(c)
+    closed = F.when((F.col("starts") > 0) & F.col("closed"), F.struct("starts", "m", "body"))
+    whole = runs.groupBy("book").agg(at_start("frontmatter"), at_start("preamble"), F.min("error").alias("error"), F.max("last").alias("last"), F.array_sort(F.collect_list(closed)).alias("found"))
+    at_end = F.when(F.col("last.state") == "start", F.concat(F.lit('chapter "'), "last.id", F.lit('" has no matching chapter-end')))
+    chapter = lambda c, i: F.struct((i + 1).alias("index"), c.m.id.alias("chapter_id"), c.m.title.alias("title"), c.m.src.alias("src"), c.body.alias("body"))
+    return whole.select("book", "frontmatter", trim_white("preamble").alias("preamble"), F.coalesce("error.reason", at_end).alias("error"), F.transform("found", chapter).alias("chapters"))
+
+
+def parse_chapters(books: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(book, markdown) to (books: book, frontmatter, preamble, error), (chapters: book, index, chapter_id, title, src, body)."""
+    found = parsed(books)
+    return found.drop("chapters"), found.select("book", F.explode("chapters").alias("c")).select("book", "c.*")

@@ -1,7 +1,8 @@
 """ePub to Markdown as a relational pipeline over the files of all books.
 
-One Arrow function opens an archive; from there reading order, navigation labels, heading levels, chapter numbers and
-assembly are Column work, and the chapters of a book are walked in parallel. One shuffle, by book, puts them together.
+One Arrow function opens an archive, once; from there reading order, navigation labels, heading levels, chapter numbers
+and assembly are Column work. A row for each file of a book, and one for the book itself, are dealt to tasks by book and
+file, so a long book is walked by many. One more shuffle, by book, puts the chapters together.
 """
 
 from __future__ import annotations
@@ -27,10 +28,12 @@ _BOOK = pa.struct([("title", pa.string()), ("authors", pa.list_(pa.string())), (
 BOOK_FILES = 5
 
 
-def _opened(content: bytes) -> dict:
+def _opened(content: bytes | None) -> dict:
     from foliospark.operators.epub_package import read_book
 
     try:
+        if content is None:
+            raise ExtractFailure("no content")
         return {k: v for k, v in read_book(content).items() if k in ("title", "authors", "doi", "publisher", "files", "nav", "classes")}
     except ExtractFailure as e:
         return {"reason": str(e), "authors": [], "files": [], "nav": [], "classes": []}
@@ -41,7 +44,7 @@ def open_book():
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
         for contents in batches:
-            yield pa.array([None if c is None else _opened(c) for c in contents.to_pylist()], _BOOK)
+            yield pa.array([_opened(c) for c in contents.to_pylist()], _BOOK)
 
     return run
 
@@ -50,31 +53,24 @@ def _mapped(entries: list | None) -> dict:
     return {e["key"]: e["value"] for e in entries or ()}
 
 
-def walk_chapter():
-    @F.arrow_udf("md string, headed boolean")
-    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
-        from foliospark.operators.epub_package import chapter
-
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
-        for pages, levels, class_levels, classes in batches:
-            rows = []
-            for page, own, by_class, cs in zip(*(x.to_pylist() for x in (pages, levels, class_levels, classes)), strict=True):
-                md, headed = ("", False) if page is None else chapter(page, _mapped(own), _mapped(by_class), cs or [])
-                rows.append({"md": md, "headed": headed})
-            yield pa.array(rows, pa.struct([("md", pa.string()), ("headed", pa.bool_())]))
+_PAPER = pa.struct([("title", pa.string()), ("authors", pa.list_(pa.string())), ("doi", pa.string()), ("journal", pa.string()), ("walked", pa.string())])
+_WALKED = pa.struct([("md", pa.string()), ("headed", pa.bool_()), ("paper", _PAPER)])
 
-    return run
 
+def walk_rows():
+    """A chapter's file to its Markdown, or the files of a paper to the paper; rows have one of them, or neither."""
 
-def walk_paper():
-    @F.arrow_udf("title string, authors array<string>, doi string, journal string, walked string")
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        from foliospark.operators.epub_package import paper
+    @F.arrow_udf("md string, headed boolean, paper struct<title:string,authors:array<string>,doi:string,journal:string,walked:string>")
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        from foliospark.operators.epub_package import chapter, paper
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
-        kind = pa.struct([("title", pa.string()), ("authors", pa.list_(pa.string())), ("doi", pa.string()), ("journal", pa.string()), ("walked", pa.string())])
-        for pages in batches:
-            yield pa.array([None if p is None else paper(p) for p in pages.to_pylist()], kind)
+        for columns in batches:
+            rows = []
+            for page, own, by_class, cs, pages in zip(*(x.to_pylist() for x in columns), strict=True):
+                md, headed = ("", False) if page is None else chapter(page, _mapped(own), _mapped(by_class), cs or [])
+                rows.append({"md": md, "headed": headed, "paper": None if pages is None else paper(pages)})
+            yield pa.array(rows, _WALKED)
 
     return run
 
@@ -124,47 +120,66 @@ def is_book() -> Column:
     return (F.size("book.files") > BOOK_FILES) & (F.size("book.nav") > 0)
 
 
-def chapters(books: DataFrame, config: Config | None = None) -> DataFrame:
-    """id, index, chapter_id, title, src, body of the chapters of book-length ePubs."""
-    config = config or Config()
+def walked(books: DataFrame, config: Config) -> DataFrame:
+    """A row for each book (n 0; `head`, and in `w.paper` what a paper's files give) and, of book-length ones, for each file that
+    is kept (n from 1, in reading order): id, n, head, src, label, w."""
     levels = F.lit(None).cast("map<string,int>")
     for publisher, classes in sorted(config.heading_classes.items()):
         pairs = F.create_map(*[F.lit(v) for kv in sorted(classes.items()) for v in kv]) if classes else levels
         levels = F.when(F.col("book.publisher") == publisher, pairs.cast("map<string,int>")).otherwise(levels)
-    whole = books.filter("book.reason is null").filter(is_book())
-    files = whole.select("id", F.posexplode("book.files").alias("ord", "file"), F.col("book.nav").alias("nav"), F.col("book.classes").alias("classes"), levels.alias("class_levels"))
-    named = files.select("id", "ord", F.col("file.path").alias("src"), F.col("file.xhtml").alias("xhtml"), nav_label(F.col("nav"), F.col("file.path")).alias("label"), toc_levels(F.col("nav"), F.col("file.path")).alias("levels"), "class_levels", "classes")
-    wanted = named.filter(F.col("xhtml").isNotNull() & kept_file("src", F.col("label")))
-    # Files of all books, spread evenly: a long book is walked by many tasks.
-    walked = wanted.select("id", "ord", "src", "label", walk_chapter()("xhtml", F.map_entries("levels"), F.map_entries("class_levels"), "classes").alias("w"))
-    body = walked.filter("w.md <> ''")
-    heading = F.when(F.col("w.headed") | F.col("label").isNull(), "").otherwise(X.nav_heading("label"))
-    text = F.concat(F.when(heading != "", F.concat(heading, F.lit("\n\n"))).otherwise(""), F.col("w.md"))
-    titled = body.select("id", "ord", "src", "label", text.alias("body"))
-    n = F.row_number().over(Window.partitionBy("id").orderBy("ord"))
-    title = F.coalesce("label", X.first_heading_text("body"), F.lit(""))
-    return titled.withColumn("index", n).select("id", "index", X.chapter_id("index").alias("chapter_id"), title.alias("title"), "src", "body")
+    good = F.col("book.reason").isNull()
+    kind = F.when(~good, "failed").when(is_book(), "book").otherwise("paper")
+    nav = F.col("book.nav")
+    known = F.transform("book.files", lambda f: F.struct(f.path.alias("src"), f.xhtml.alias("xhtml"), nav_label(nav, f.path).alias("label")))
+    kept = F.filter(known, lambda p: p.xhtml.isNotNull() & kept_file(p.src, p.label))
+    none = F.lit(None).cast("string")
+    itself = F.array(F.struct(none.alias("src"), none.alias("xhtml"), none.alias("label")))
+    pages = F.when(kind == "paper", F.transform(F.filter("book.files", lambda f: f.xhtml.isNotNull()), lambda f: F.concat(f.xhtml, F.lit("\n<!-- epub-part: "), f.path, F.lit(" -->\n"))))
+    head = F.struct(kind.alias("kind"), "book.title", "book.authors", "book.doi", "book.reason", F.when(kind == "book", contents_list(nav)).alias("contents"))
+    one = books.select("id", head.alias("head"), pages.alias("pages"), F.when(kind == "book", nav).alias("nav"), F.col("book.classes").alias("classes"), levels.alias("class_levels"), F.when(kind == "book", F.concat(itself, kept)).otherwise(itself).alias("files"))
+    first = lambda c: F.when(F.col("n") == 0, F.col(c)).alias(c)
+    rows = one.select("id", "head", "pages", "nav", "classes", "class_levels", F.posexplode("files").alias("n", "file"))
+    rows = rows.select("id", "n", first("head"), first("pages"), "file.*", F.when(F.col("n") > 0, F.map_entries(toc_levels(F.col("nav"), F.col("file.src")))).alias("levels"), F.map_entries("class_levels").alias("class_levels"), "classes")
+    dealt = rows.repartition("id", "n")
+    return dealt.select("id", "n", "head", "src", "label", walk_rows()("xhtml", "levels", "class_levels", "classes", "pages").alias("w"))
+
+
+def _body(label, w) -> Column:
+    heading = F.when(w.headed | label.isNull(), "").otherwise(X.nav_heading(label))
+    return F.concat(F.when(heading != "", F.concat(heading, F.lit("\n\n"))).otherwise(""), w.md)
+
+
+def _title(label, body) -> Column:
+    return F.coalesce(label, X.first_heading_text(body), F.lit(""))
+
+
+def chapters(books: DataFrame, config: Config | None = None) -> DataFrame:
+    """id, index, chapter_id, title, src, body of the chapters of book-length ePubs."""
+    titled = walked(books, config or Config()).filter("n > 0 and w.md <> ''").select("id", "n", "src", "label", _body(F.col("label"), F.col("w")).alias("body"))
+    index = F.row_number().over(Window.partitionBy("id").orderBy("n"))
+    return titled.withColumn("index", index).select("id", "index", X.chapter_id("index").alias("chapter_id"), _title(F.col("label"), F.col("body")).alias("title"), "src", "body")
 
 
 def extract_books(raw: DataFrame, config: Config | None = None) -> DataFrame:
     """(id, content) rows to the columns of extract_documents()."""
     config = config or Config()
-    books = opened(raw)
     none = F.lit(None).cast("string")
-    part = lambda c: F.concat(X.start_marker(c["chapter_id"], c["title"], c["src"], config.marker), F.lit("\n\n"), c["body"], F.lit("\n\n"), X.end_marker(c["chapter_id"], config.marker), F.lit("\n\n"))
-    found = chapters(books, config)
-    marked = found.select("id", "index", part(found).alias("part"))
-    joined = marked.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("index", "part"))), lambda p: p.part), "").alias("parts"))
+    rows = walked(opened(raw), config).withColumn("body", F.when((F.col("n") > 0) & (F.col("w.md") != ""), _body(F.col("label"), F.col("w"))))
+    chapter = F.when(F.col("body").isNotNull(), F.struct("n", _title(F.col("label"), F.col("body")).alias("title"), "src", "body"))
+    whole = rows.groupBy("id").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"), F.first("head", True).alias("head"), F.first("w.paper", True).alias("paper"))
+
+    def part(c, i):
+        name = X.chapter_id(i + 1)
+        return F.concat(X.start_marker(name, c.title, c.src, config.marker), F.lit("\n\n"), c.body, F.lit("\n\n"), X.end_marker(name, config.marker), F.lit("\n\n"))
+
     title_line = lambda t: F.when(t.isNotNull(), F.concat(F.lit("# "), t, F.lit("\n\n"))).otherwise("")
-    head = books.filter(F.col("book.reason").isNull() & is_book()).select("id", F.col("book.title").alias("title"), F.col("book.authors").alias("authors"), F.col("book.doi").alias("doi"), F.concat(title_line(F.col("book.title")), contents_list(F.col("book.nav")), F.lit("\n")).alias("head"))
-    long = head.join(joined, "id", "left").select("id", "title", "authors", "doi", none.alias("journal"), X.collapse_blanks(F.concat("head", "parts")).alias("body"), F.when(F.col("parts").isNull(), "no body content found in ePub").alias("reason"))
-    short = books.filter(F.col("book.reason").isNull() & ~is_book())
-    pages = F.transform(F.filter("book.files", lambda f: f.xhtml.isNotNull()), lambda f: F.concat(f.xhtml, F.lit("\n<!-- epub-part: "), f.path, F.lit(" -->\n")))
-    w = short.select("id", "book.title", "book.authors", "book.doi", walk_paper()(pages).alias("w"))
-    t = F.when(F.col("w.title").isNull() | X.junk_title("w.title"), F.col("title")).otherwise(F.col("w.title"))
-    a = F.when(F.size("w.authors") > 0, F.col("w.authors")).otherwise(F.col("authors"))
-    papers = w.select("id", t.alias("title"), a.alias("authors"), F.coalesce("w.doi", "doi").alias("doi"), F.col("w.journal").alias("journal"), X.collapse_blanks(F.concat(title_line(t), F.col("w.walked"))).alias("body"), none.alias("reason"))
-    failed = books.filter("book.reason is not null").select("id", none.alias("title"), F.array().cast("array<string>").alias("authors"), none.alias("doi"), none.alias("journal"), none.alias("body"), F.col("book.reason").alias("reason"))
-    every = long.unionByName(papers).unionByName(failed).withColumn("source_format", F.lit("epub"))
+    kind, p = F.col("head.kind"), F.col("paper")
+    book = F.concat(title_line(F.col("head.title")), F.col("head.contents"), F.lit("\n"), F.array_join(F.transform("chapters", part), ""))
+    better = F.when(p.title.isNull() | X.junk_title(p.title), F.col("head.title")).otherwise(p.title)
+    title = F.when(kind == "paper", better).otherwise(F.col("head.title"))
+    authors = F.when((kind == "paper") & (F.size(p.authors) > 0), p.authors).otherwise(F.col("head.authors"))
+    text = F.when(kind == "book", book).when(kind == "paper", F.concat(title_line(title), p.walked))
+    reason = F.when((kind == "book") & (F.size("chapters") == 0), "no body content found in ePub").otherwise(F.col("head.reason"))
+    every = whole.select("id", F.lit("epub").alias("source_format"), reason.alias("reason"), title.alias("title"), F.coalesce(authors, F.array().cast("array<string>")).alias("authors"), F.when(kind == "paper", F.coalesce(p.doi, "head.doi")).otherwise(F.col("head.doi")).alias("doi"), F.when(kind == "paper", p.journal).otherwise(none).alias("journal"), X.collapse_blanks(text).alias("body"))
     empty = {"references": F.array().cast("array<struct<label:string,text:string>>"), "tables": F.array().cast("array<struct<head:boolean,cells:array<string>>>")}
     return finished(every.withColumns(empty).select("id", "source_format", "reason", "title", "authors", "doi", "journal", "body", "references", "tables"))

@@ -53,20 +53,23 @@ def text_extractor(config: Config, strip_refs: bool = False):
 
 
 def with_format(docs: DataFrame, config: Config, ext: str = "ext", text: str = "text") -> DataFrame:
-    """Adds profile (of HTML pages), format and reason (null where nothing speaks against extraction)."""
+    """Adds profile (of HTML pages), format and reason (null where nothing speaks against extraction). A reason that rows
+    bring along, such as bytes that aren't UTF-8, stays; a null text is a reason too."""
     is_page = F.col(ext) == "html"
     out = docs.withColumn("profile", F.when(is_page, D.profile_of(F.col(text), config)))
     kind = F.when(F.col(ext) == "epub", "epub").when(F.col(ext) == "xml", D.xml_format(F.col(text))).when(is_page, D.format_name(F.col("profile"))).otherwise("unknown")
     out = out.withColumn("format", kind)
-    return out.withColumn("reason", F.when(F.col("format") == "unknown", "unknown format").when(is_page, D.preflight(F.col("profile"), F.col(text), config)))
+    given = F.col("reason") if "reason" in docs.columns else F.lit(None).cast("string")
+    here = F.when(F.col(text).isNull(), "no text").when(F.col("format") == "unknown", "unknown format").when(is_page, D.preflight(F.col("profile"), F.col(text), config))
+    return out.withColumn("reason", F.coalesce(given, here))
 
 
 def extract_documents(docs: DataFrame, config: Config | None = None, strip_refs: bool = False) -> DataFrame:
-    """(id, ext, text) rows to id, source_format, title, authors, doi, journal, body, references, tables, markdown, bytes,
+    """(id, ext, text, and a reason if the source gives one) rows to id, source_format, title, authors, doi, journal, body, references, tables, markdown, bytes,
     status, reason. Failed rows have a reason and no Markdown."""
     config = config or Config()
     ship(docs.sparkSession)
-    known = with_format(docs.select("id", "ext", "text"), config)
+    known = with_format(docs.select("id", "ext", "text", *[c for c in docs.columns if c == "reason"]), config)
     sent = F.when(F.col("reason").isNull(), F.col("text"))
     found = known.select("id", F.col("format").alias("source_format"), F.col("reason").alias("early"), text_extractor(config, strip_refs)("format", "profile", sent).alias("found"))
     flat = found.select("id", "source_format", F.coalesce("early", "found.reason").alias("reason"), "found.title", F.coalesce("found.authors", F.array().cast("array<string>")).alias("authors"), "found.doi", "found.journal", "found.body", "found.references", "found.tables")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from foliospark.config import SplitConfig
 from foliospark.errors import EngineError
 from foliospark.functions.text import escape_yaml, heading_slug, pad_number, source_stem, trim_white
-from foliospark.operators.chapters import parse_chapters
+from foliospark.operators.chapters import parsed
 from foliospark.shipping import ship
 
 
@@ -49,7 +50,7 @@ def compile_template(template: str, values: Values) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
-def free_name(path: str, n: int, used: set[str]) -> str:
+def free_name(path: str, n: int, used) -> str:
     """The path itself, or with its chapter's number, or with a further number: the first that is free."""
     p, k, candidate = PurePosixPath(path), 1, path
     while candidate in used:
@@ -58,51 +59,61 @@ def free_name(path: str, n: int, used: set[str]) -> str:
     return candidate
 
 
-def _renamed(table: pa.Table) -> pa.Table:
-    table = table.sort_by("index")
-    used: set[str] = set()
-    paths = []
-    for path, n in zip(table.column("path").to_pylist(), table.column("index").to_pylist(), strict=True):
-        paths.append(free_name(path, n, used))
-        used.add(paths[-1])
-    return table.set_column(table.schema.get_field_index("path"), "path", pa.array(paths, pa.string()))
+def renamed():
+    """Arrow function (paths, numbers) of a book to its paths without collisions; null stays null."""
 
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for paths, numbers in batches:
+            rows = []
+            for own, ns in zip(paths.to_pylist(), numbers.to_pylist(), strict=True):
+                used: dict[str, None] = {}
+                for path, n in zip(own or (), ns or (), strict=True):
+                    used[free_name(path, n, used)] = None
+                rows.append(None if own is None else list(used))
+            yield pa.array(rows, pa.list_(pa.string()))
 
-def without_collisions(files: DataFrame) -> DataFrame:
-    """Only books in which two paths are equal go through the sequential rule."""
-    ship(files.sparkSession)
-    twice = files.groupBy("book", "path").count().filter("count > 1").select("book").distinct()
-    fixed = files.join(twice, "book", "left_semi").groupBy("book").applyInArrow(_renamed, files.schema)
-    return files.join(twice, "book", "left_anti").unionByName(fixed)
+    return run
+
+
+def _pathed(books: DataFrame) -> DataFrame:
+    """`files` (index, title, path, content) of each book with free paths: only books in which two paths are equal go
+    through the sequential rule."""
+    paths = F.transform("files", lambda f: f.path)
+    clash = F.size(F.array_distinct(paths)) < F.size("files")
+    fixed = renamed()(F.when(clash, paths), F.when(clash, F.transform("files", lambda f: f.index)))
+    return books.withColumn("fixed", fixed).select("book", F.transform("files", lambda f, i: F.struct("book", f.index.alias("index"), f.title.alias("title"), F.coalesce(F.get("fixed", i), f.path).alias("path"), f.content.alias("content"))).alias("files"))
 
 
 def split_files(books: DataFrame, config: SplitConfig | None = None, outdir: str = "") -> DataFrame:
     """(book, markdown) to book, index (0: front file), title, path, bytes, content. Books with an error or without chapters
-    give no rows; split_errors() has them."""
+    give no rows; split_errors() has them. Each book is parsed once."""
     config = config or SplitConfig()
-    state, chapters = parse_chapters(books)
-    good = state.filter("error is null")
+    ship(books.sparkSession)
+    good = parsed(books).filter(F.col("error").isNull() & (F.size("chapters") > 0))
     base = f"{outdir.rstrip('/')}/" if outdir else ""
     blank = F.lit("")
     values = lambda **v: Values(**({"book": F.col("book"), "n": F.lit(0), "slug": blank, "title": blank, "src": blank, "pad": config.pad} | v))
     sub = F.concat(F.lit(base), compile_template(config.subdir, values()), F.lit("/")) if config.subdir else F.lit(base)
     head = F.when(F.col("frontmatter") != "", F.concat(F.lit("---\n"), "frontmatter", F.lit("---\n\n"))).otherwise("")
-    name = compile_template(config.file, values(n=F.col("index"), slug=heading_slug("title"), title=F.col("title"), src=source_stem("src")))
-    source = F.when(F.col("src") != "", F.concat(F.lit('source: "'), escape_yaml("src"), F.lit('"\n'))).otherwise("")
-    text = F.concat(F.lit("---\n"), "frontmatter", F.lit("chapter: "), F.col("index").cast("string"), F.lit('\nchapter_title: "'), escape_yaml("title"), F.lit('"\n'), source, F.lit("---\n\n"), trim_white("body"), F.lit("\n"))
-    out = chapters.join(good, "book").select("book", "index", "title", F.concat(sub, name).alias("path"), text.alias("content"))
+
+    def file(c) -> Column:
+        name = compile_template(config.file, values(n=c.index, slug=heading_slug(c.title), title=c.title, src=source_stem(c.src)))
+        source = F.when(c.src != "", F.concat(F.lit('source: "'), escape_yaml(c.src), F.lit('"\n'))).otherwise("")
+        text = F.concat(F.lit("---\n"), "frontmatter", F.lit("chapter: "), c.index.cast("string"), F.lit('\nchapter_title: "'), escape_yaml(c.title), F.lit('"\n'), source, F.lit("---\n\n"), trim_white(c.body), F.lit("\n"))
+        return F.struct(c.index.alias("index"), c.title.alias("title"), F.concat(sub, name).alias("path"), text.alias("content"))
+
+    files = F.transform("chapters", file)
     if config.front:
         front = compile_template(config.front, values(slug=F.lit("frontmatter"), title=F.lit("frontmatter")))
-        with_chapters = good.join(chapters.select("book").distinct(), "book", "left_semi")
-        out = with_chapters.select("book", F.lit(0).alias("index"), F.col("book").alias("title"), F.concat(sub, front).alias("path"), F.concat(head, "preamble", F.lit("\n")).alias("content")).unionByName(out)
-    return without_collisions(out).select("book", "index", "title", "path", F.octet_length("content").cast("long").alias("bytes"), "content")
+        first = F.struct(F.lit(0).alias("index"), F.col("book").alias("title"), F.concat(sub, front).alias("path"), F.concat(head, "preamble", F.lit("\n")).alias("content"))
+        files = F.concat(F.array(first), files)
+    out = _pathed(good.select("book", files.alias("files"))).select(F.explode("files").alias("f")).select("f.*")
+    return out.select("book", "index", "title", "path", F.octet_length("content").cast("long").alias("bytes"), "content")
 
 
 def split_errors(books: DataFrame) -> DataFrame:
     """book, kind, message for books that can't be split."""
-    state, chapters = parse_chapters(books)
-    none = state.filter("error is null").join(chapters.select("book").distinct(), "book", "left_anti")
-    missing = none.select("book", F.lit("no_chapters").alias("kind"), F.concat(F.lit("no chapter markers in "), "book").alias("message"))
-    return state.filter("error is not null").select("book", F.lit("extraction_failed").alias("kind"), F.col("error").alias("message")).unionByName(missing)
-
-
+    found = parsed(books).filter(F.col("error").isNotNull() | (F.size("chapters") == 0))
+    kind = F.when(F.col("error").isNotNull(), "extraction_failed").otherwise("no_chapters")
+    return found.select("book", kind.alias("kind"), F.coalesce("error", F.concat(F.lit("no chapter markers in "), "book")).alias("message"))

@@ -126,7 +126,7 @@ def main(argv: list[str] | None = None) -> int:
     args = _parser().parse_args(argv)
     as_json = args.format == "json" or (args.format is None and not sys.stdout.isatty())
     try:
-        cfg = C.load(*args.config)
+        cfg = C.layered(*args.config)
         from pyspark.sql import SparkSession
 
         spark = SparkSession.builder.appName("foliospark").getOrCreate()

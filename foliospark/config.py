@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import tomllib
 from dataclasses import dataclass, field, fields, replace
 from pathlib import Path
@@ -204,3 +205,25 @@ def load(*paths: str | Path, base: Config | None = None) -> Config:
         except (TypeError, AttributeError) as e:
             raise EngineError("config_error", f"{path}: {e}") from e
     return out
+
+
+ENDINGS = (".yaml", ".toml", ".json")
+
+
+def discovered(folder: str | Path | None = None, home: str | Path | None = None) -> list[Path]:
+    """The user's file, then the project's: the first found from `folder` upwards."""
+    folder, home = Path(folder or Path.cwd()).resolve(), Path(home or Path.home())
+    named = lambda stem: next((p for e in ENDINGS if (p := stem.with_name(stem.name + e)).is_file()), None)
+    user = named(home / ".config" / "foliospark" / "config")
+    places = [at / n for at in (folder, *folder.parents) for n in (".foliospark", ".config/foliospark", "foliospark")]
+    project = next((p for stem in places if (p := named(stem))), None)
+    return [p for p in (user, project) if p is not None]
+
+
+def layered(*paths: str | Path, folder: str | Path | None = None, home: str | Path | None = None, environment: dict | None = None) -> Config:
+    """In rising order of precedence: defaults, the user's file, the project's, the environment (FOLIOSPARK_INPUT_DIR,
+    FOLIOSPARK_OUTPUT_DIR, FOLIOSPARK_MARKER), the files named in `paths`. Flags come after these."""
+    given = os.environ if environment is None else environment
+    found = load(*discovered(folder, home))
+    found = merged(found, {k: v for k in ("input_dir", "output_dir", "marker") if (v := given.get(f"FOLIOSPARK_{k.upper()}"))})
+    return load(*paths, base=found)

@@ -156,3 +156,21 @@ def without_doctype(x) -> Column:
 def em_size(css_block) -> Column:
     """The first font-size of a CSS rule, if it is in em."""
     return F.regexp_extract(_c(css_block), r"(?s)font-size[^:]*:\s*([0-9.]+)\s*em", 1).try_cast("float")
+
+
+def skeleton(md) -> Column:
+    """What regression tests keep of a Markdown text: sha256, bytes, headings and words in all, and `sections`, the words
+    between each heading and the next."""
+    rows = F.split(_c(md), "\n", -1)
+    words = lambda x: F.when(x.startswith("#") | (normalize_text(x) == ""), 0).otherwise(F.size(F.split(normalize_text(x), " "))).cast("long")
+    section = lambda h, n: F.struct(h.alias("heading"), n.alias("words"))
+    nothing = F.array().cast("array<struct<heading:string,words:bigint>>")
+
+    def step(done, x):
+        last = F.element_at(done, -1)
+        grown = F.concat(F.slice(done, 1, F.size(done) - 1), F.array(section(last.heading, last.words + words(x))))
+        return F.when(x.startswith("#"), F.concat(done, F.array(section(x, F.lit(0).cast("long"))))).when(F.size(done) > 0, grown).otherwise(done)
+
+    total = F.aggregate(F.transform(rows, words), F.lit(0).cast("long"), lambda a, b: a + b)
+    heads = F.size(F.filter(rows, lambda x: x.startswith("#"))).cast("long")
+    return F.struct(F.sha2(_c(md), 256).alias("sha256"), F.octet_length(_c(md)).cast("long").alias("bytes"), heads.alias("headings"), total.alias("words"), F.aggregate(rows, nothing, step).alias("sections"))

@@ -155,7 +155,7 @@ class Jats(Vocabulary):
 
 class Wml(Vocabulary):
     section, table, figure = "section", "tabular", "figure"
-    name = "WML3G XML"
+    name = "Wiley XML"
 
     def inline_element(self, name: str, c: Node) -> str:
         if name == "link":

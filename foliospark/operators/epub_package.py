@@ -59,7 +59,7 @@ def opf_path(archive: zipfile.ZipFile) -> str:
             return n.attrs["full-path"]
     found = next((n for n in archive.namelist() if n.endswith(".opf")), None)
     if found is None:
-        raise ExtractFailure("no OPF package in ePub")
+        raise ExtractFailure("no OPF file found in ePub")
     return found
 
 

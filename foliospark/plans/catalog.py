@@ -131,17 +131,10 @@ def preflight_bails(spark, sf_dir):
 # Text rules
 
 
-@query("SELECT doc_id, CAST(least(strlen(coalesce(text, '')), 64) AS BIGINT) AS head_bytes, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes FROM documents WHERE regexp_full_match(coalesce(text, ''), '[\\x00-\\x7F]*')")
-def byte_prefix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ascii_ = docs.filter(F.octet_length("text") == F.length("text"))
-    return ascii_.select("doc_id", F.octet_length(X.byte_prefix("text", 64)).cast("long").alias("head_bytes"), F.octet_length("text").cast("long").alias("bytes"))
-
-
 @query("""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), h AS (SELECT doc_id, strlen(t) AS n, left(t, 64) AS c FROM d),
 k AS (SELECT doc_id, n, left(c, CAST(list_max(list_filter(range(0, 65), lambda i: strlen(left(c, i)) <= 64)) AS BIGINT)) AS whole FROM h)
 SELECT doc_id, CASE WHEN strlen(whole) < least(n, 64) THEN whole || chr(65533) ELSE whole END AS head, CAST(n AS BIGINT) AS bytes FROM k""")
-def byte_prefix_all(spark, sf_dir):
+def byte_prefix(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return docs.select("doc_id", X.byte_prefix("text", 64).alias("head"), F.octet_length("text").cast("long").alias("bytes"))
 
@@ -527,16 +520,88 @@ CAST(sum(CASE WHEN starts_with(line, '#') OR {norm('line')} = '' THEN 0 ELSE len
 def skeleton(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     md = docs.select("doc_id", cat("# T ", s("doc_id"), "\n\n", X.normalize_text("text")).alias("md"))
-    plain = F.filter(F.split("md", "\n", -1), lambda x: ~x.startswith("#") & (X.normalize_text(x) != ""))
-    words = F.aggregate(F.transform(plain, lambda x: F.size(F.split(X.normalize_text(x), " "))), F.lit(0), lambda a, b: a + b).cast("long")
-    heads = F.size(F.filter(F.split("md", "\n", -1), lambda x: x.startswith("#"))).cast("long")
-    return md.select("doc_id", F.sha2("md", 256).alias("sha256"), F.octet_length("md").cast("long").alias("bytes"), heads.alias("headings"), words.alias("words"))
+    return md.select("doc_id", X.skeleton("md").alias("k")).select("doc_id", "k.sha256", "k.bytes", "k.headings", "k.words")
+
+
+@query("""WITH v AS (SELECT doc_id, '# A ' || lang || chr(10) || 'x' || chr(10) || chr(10) || '## B' || chr(10) || 'one two ' || source || chr(10) || 'three' || chr(10) || '### C' AS md, lang, source FROM documents)
+SELECT doc_id, n, heading, CAST(w AS BIGINT) AS words FROM v, LATERAL (VALUES (1, '# A ' || lang, 1), (2, '## B', 3 + len(string_split(trim(source), ' '))), (3, '### C', 0)) AS t(n, heading, w)""")
+def skeleton_sections(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    md = docs.select("doc_id", cat("# A ", F.col("lang"), "\nx\n\n## B\none two ", F.col("source"), "\nthree\n### C").alias("md"))
+    found = md.select("doc_id", F.posexplode(X.skeleton("md").sections).alias("at", "section"))
+    return found.select("doc_id", (F.col("at") + 1).alias("n"), "section.heading", "section.words")
 
 
 @query("SELECT doc_id, p AS path FROM documents, (VALUES ('t/fig1.xhtml'), ('t/table2.xhtml')) AS v(p) WHERE p <> CASE WHEN doc_id % 2 = 0 THEN 't/fig1.xhtml' ELSE '' END")
 def overflow_except(spark, sf_dir):
+    from foliospark.operators.epub import opened
+
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    ids = F.when(F.col("doc_id") % 2 == 0, '<itemref idref="a"/><itemref idref="f"/>').otherwise('<itemref idref="a"/>')
+    opf = cat('<package><metadata/><manifest><item id="a" href="a.xhtml"/><item id="f" href="fig1.xhtml"/></manifest><spine>', ids, "</spine></package>")
+    entry = lambda name, text: F.struct(F.lit(name).alias("name"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+    container = _CONTAINER.replace("O/c.opf", "t/c.opf")
+    entries = F.array(entry("META-INF/container.xml", container), entry("t/c.opf", opf), *[entry(n, "<p>x</p>") for n in ("t/a.xhtml", "t/fig1.xhtml", "t/table2.xhtml", "t/fig.css", "u/fig3.xhtml")])
+    books = opened(docs.select(s("doc_id").alias("id"), _zipped(entries).alias("content")))
+    files = books.select(F.col("id").cast("long").alias("doc_id"), F.posexplode("book.files").alias("at", "file"))
+    return files.filter(F.col("at") >= F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1)).select("doc_id", F.col("file.path").alias("path"))
+
+
+def _papers(spark, sf_dir) -> DataFrame:
+    """A short ePub for each document: one page with metadata in its markup, a table beside it, an NCX and a style sheet."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "lang", "source")
+    opf = cat(
+        '<package><metadata><title>Package</title><creator>Nobody</creator></metadata><manifest><item id="ncx" href="t.ncx" media-type="application/x-dtbncx+xml"/><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>',
+    )
+    page = cat(
+        '<html><head><title>x</title></head><body><h1 property="name">Paper ', s("doc_id"), '</h1><span property="author"><span property="givenName">Ann</span> <span property="familyName">', F.col("source"), '</span></span>',
+        '<a property="sameAs" href="https://doi.org/10.5/', s("doc_id"), '">d</a><span typeof="Periodical"><span property="name">J ', F.col("lang"), "</span></span><p>text</p></body></html>",
+    )
+    ncx = cat('<ncx><navMap><navPoint><navLabel><text>P ', F.col("lang"), '</text></navLabel><content src="a.xhtml"/><navPoint><navLabel><text>In</text></navLabel><content src="a.xhtml#s"/></navPoint></navPoint><navPoint><navLabel><text>Last</text></navLabel></navPoint></navMap></ncx>')
+    css = ".class1 { text-align: center; font-size: 2em }\n.class2 { text-align: center; font-size: 1.5em }\n.class3 { text-align: center; font-size: 1.4em; font-weight: bold }\n.class4 { text-align: left; font-size: 1.5em }\n.other { text-align: center; font-size: 1.2em }"
+    entry = lambda name, text: F.struct(F.lit(name).alias("name"), (F.lit(text) if isinstance(text, str) else text).alias("text"))
+    entries = F.array(entry("META-INF/container.xml", _CONTAINER), entry("O/c.opf", opf), entry("O/t.ncx", ncx), entry("O/s.css", css), entry("O/a.xhtml", page), entry("O/table1.xhtml", cat("<p>beside ", s("doc_id"), "</p>")))
+    return docs.select(s("doc_id").alias("id"), _zipped(entries).alias("content"))
+
+
+@query("SELECT doc_id, 'Paper ' || doc_id AS title, 'Ann ' || source AS authors, '10.5/' || doc_id AS doi, 'J ' || lang AS journal, true AS beside, 'ok' AS status FROM documents")
+def epub_papers(spark, sf_dir):
+    from foliospark.operators.epub import extract_books
+
+    out = extract_books(_papers(spark, sf_dir))
+    return out.select(F.col("id").cast("long").alias("doc_id"), "title", F.array_join("authors", ",").alias("authors"), "doi", "journal", F.col("body").contains(F.concat(F.lit("beside "), F.col("id"))).alias("beside"), "status")
+
+
+@query("""SELECT doc_id, o AS ord, p AS parent_ord, d AS depth, CASE o WHEN 0 THEN 'P ' || lang ELSE l END AS label, h AS href, f AS fragment FROM documents,
+(VALUES (0, -1, 0, '', 'O/a.xhtml', NULL), (1, 0, 1, 'In', 'O/a.xhtml', 's'), (2, -1, 0, 'Last', '', NULL)) AS v(o, p, d, l, h, f)""")
+def epub_ncx(spark, sf_dir):
+    from foliospark.operators.epub import opened
+
+    return opened(_papers(spark, sf_dir)).select(F.col("id").cast("long").alias("doc_id"), F.explode("book.nav").alias("n")).select("doc_id", "n.*")
+
+
+@query("SELECT doc_id, 'class2' AS classes FROM documents")
+def epub_subheading_classes(spark, sf_dir):
+    from foliospark.operators.epub import opened
+
+    return opened(_papers(spark, sf_dir)).select(F.col("id").cast("long").alias("doc_id"), F.array_join("book.classes", ",").alias("classes"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'malformed chapter-start marker: <!-- book:chapter-start id="ch01" title="A" b" src="f" -->' WHEN doc_id % 3 = 1 THEN 'chapter "ch01" has no matching chapter-end' END AS error FROM documents""")
+def chapter_errors(spark, sf_dir):
+    from foliospark.operators.chapters import parse_chapters
+
+    docs = table(spark, sf_dir, "documents", "doc_id")
+    title = F.when(F.col("doc_id") % 3 == 0, 'A" b').otherwise("A b")
+    end = F.when(F.col("doc_id") % 3 == 1, "").otherwise('<!-- book:chapter-end id="ch01" -->\n')
+    md = docs.select(s("doc_id").alias("book"), cat('<!-- book:chapter-start id="ch01" title="', title, '" src="f" -->\nx\n', end).alias("markdown"))
+    return parse_chapters(md)[0].select(F.col("book").cast("long").alias("doc_id"), "error")
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'no text' WHEN 1 THEN 'unknown format' WHEN 2 THEN 'not UTF-8' END AS reason, CASE WHEN doc_id % 4 = 3 THEN 'ok' ELSE 'failed' END AS status FROM documents""")
+def extract_failures(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id")
-    names = F.array(*[F.lit(n) for n in ("t/a.xhtml", "t/fig1.xhtml", "t/table2.xhtml", "t/fig.css", "u/fig3.xhtml")])
-    spine = F.when(F.col("doc_id") % 2 == 0, F.array(F.lit("t/a.xhtml"), F.lit("t/fig1.xhtml"))).otherwise(F.array(F.lit("t/a.xhtml")))
-    wanted = F.filter(F.array_except(names, spine), lambda n: n.startswith("t/") & n.endswith(".xhtml") & (X.file_name(n).startswith("fig") | X.file_name(n).startswith("table")))
-    return docs.select("doc_id", F.explode(wanted).alias("path"))
+    k = F.col("doc_id") % 4
+    page = F.when(k == 0, None).when(k == 3, "<html><body><article><p>x</p></article></body></html>").otherwise("<plain/>")
+    rows = docs.select(s("doc_id").alias("id"), F.when(k == 1, "xml").otherwise("html").alias("ext"), page.alias("text"), F.when(k == 2, "not UTF-8").alias("reason"))
+    return extract_documents(rows).select(F.col("id").cast("long").alias("doc_id"), "reason", "status")

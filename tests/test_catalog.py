@@ -33,7 +33,7 @@ def test_detection_runs_no_python_and_prunes(spark):
 
 @pytest.mark.skipif(not DATA.exists(), reason="no tables here")
 def test_byte_prefix_reads_all_documents(spark):
-    got = QUERIES["byte_prefix_all"](spark, str(DATA)).collect()
+    got = QUERIES["byte_prefix"](spark, str(DATA)).collect()
     texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(str(DATA / "documents.parquet")).collect()}
     assert len(got) == len(texts) and any(r.head.endswith("\ufffd") for r in got)
     assert all((r.head, r.bytes) == (texts[r.doc_id][:64].decode(errors="replace"), len(texts[r.doc_id])) for r in got)

@@ -84,3 +84,55 @@ def test_stream(spark, tmp_path):
         (inputs / f"{name}.html").write_text(PAGE)
         extract_stream(spark, str(inputs), str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "t")).filter("status = 'ok'").count() == round_
+
+
+def test_settings_layers(tmp_path):
+    home, project = tmp_path / "home", tmp_path / "project" / "sub"
+    (home / ".config" / "foliospark").mkdir(parents=True)
+    project.mkdir(parents=True)
+    (home / ".config" / "foliospark" / "config.yaml").write_text("input_dir: user\noutput_dir: user\nmarker: user\nsplit:\n  pad: 5\n")
+    (tmp_path / "project" / ".foliospark.toml").write_text('output_dir = "project"\nmarker = "project"\n')
+    (tmp_path / "c.json").write_text('{"marker": "named"}')
+    layers = lambda *p, **e: C.layered(*p, folder=project, home=home, environment=e)
+    c = layers()
+    assert (c.input_dir, c.output_dir, c.marker, c.split.pad) == ("user", "project", "project", 5)
+    c = layers(tmp_path / "c.json", FOLIOSPARK_OUTPUT_DIR="env", FOLIOSPARK_MARKER="env")
+    assert (c.input_dir, c.output_dir, c.marker) == ("user", "env", "named")
+
+
+def test_rows_without_text_fail(spark):
+    from foliospark.operators.extract import extract_documents
+
+    rows = [("a", "html", None, None), ("b", "xml", None, None), ("c", "html", PAGE, None), ("d", "html", PAGE, "not UTF-8")]
+    got = {r.id: (r.status, r.reason) for r in extract_documents(spark.createDataFrame(rows, "id string, ext string, text string, reason string")).collect()}
+    assert got == {"a": ("failed", "no text"), "b": ("failed", "no text"), "c": ("ok", None), "d": ("failed", "not UTF-8")}
+
+
+def test_sql_functions(spark):
+    import io
+    import zipfile
+
+    from foliospark.functions.sql import register
+
+    register(spark)
+    got = spark.sql(f"select foliospark_detect('html', '{PAGE}') as f, foliospark_extract('html', '{PAGE}') as x, foliospark_extract('xml', null).reason as r").first()
+    assert got.f == "other-html" and got.x.title == "T" and got.x.body.strip() == "# T\n\ntext" and got.r == "no text"
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="c.opf"/></rootfiles></container>')
+        z.writestr("c.opf", '<package><metadata/><manifest><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("a.xhtml", "<p>x</p>")
+    spark.createDataFrame([(buffer.getvalue(),), (b"no zip",)], "content binary").createOrReplaceTempView("archives_")
+    assert [tuple(r) for r in spark.sql("select f.* from archives_, lateral foliospark_epub_files(content) f").collect()] == [(0, "a.xhtml", "<p>x</p>")]
+
+
+def test_stream_takes_epubs_and_reports_bad_files(spark, tmp_path):
+    from foliospark.streaming.ingest import extract_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text(PAGE)
+    (tmp_path / "in" / "b.html").write_bytes(b"<html>\xff\xfe</html>")
+    (tmp_path / "in" / "c.epub").write_bytes(b"no zip")
+    extract_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.id: (r.status, r.reason) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got["a"] == ("ok", None) and got["b"] == ("failed", "not UTF-8") and got["c"][0] == "failed" and got["c"][1].startswith("opening ePub")

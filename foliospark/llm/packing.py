@@ -32,7 +32,7 @@ CAPACITY, END = 4096, 1
 #: Rows of one rank group (length, salt) at most, about.
 RANKED = 1 << 20
 #: Slots of a Python worker's memory of units (32 bytes each; half of them are used), and the ids it keeps before it starts afresh.
-SLOTS, REMEMBERED = 1 << 22, 1 << 23
+SLOTS, REMEMBERED = 1 << 20, 1 << 21
 #: Longer units aren't remembered.
 SHORT = 64
 #: Texts are cut at spaces and newlines.

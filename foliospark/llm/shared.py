@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from foliospark.shipping import ship
 
 #: Rows of one Arrow batch sent to Python; texts are long, so Spark's own default of 10,000 is too many.
-ARROW_ROWS, ARROW_BYTES = 1024, 32 << 20
+ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -115,7 +115,7 @@ def strings(column: pa.Array) -> pa.Array:
     return column.fill_null("") if column.null_count else column
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """Cuts a batch so that a slice holds about `limit` bytes of the text column; a longer text is a slice of its own."""
     at, texts = 0, strings(batch.column(column))
     import numpy as np

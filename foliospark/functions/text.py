@@ -34,9 +34,10 @@ def is_blank(x) -> Column:
 
 def collapse_blanks(x) -> Column:
     """Of a run of blank lines the first stays, empty; every line ends in a newline."""
-    kept = lambda l: F.filter(l, lambda s, i: ~(is_blank(s) & (i > 0) & is_blank(F.get(l, i - 1))))  # noqa: E731, E741
-    joined = F.array_join(F.transform(kept(lines(x)), lambda s: F.when(is_blank(s), "").otherwise(s)), "\n")
-    return F.when(_c(x) == "", "").otherwise(F.concat(joined, F.lit("\n")))
+    ended = F.replace(F.regexp_replace(_c(x), r"\r?\n\z", ""), F.lit("\r\n"), F.lit("\n"))
+    # White space from a line's start up to its own or a later line's end: a run of blank lines. The text is looked at once.
+    kept = F.regexp_replace(ended, rf"(\A|\n){WS_CLASS}*(?=\n|\z)", "$1")
+    return F.when(_c(x) == "", "").otherwise(F.concat(kept, F.lit("\n")))
 
 
 def escape_yaml(x) -> Column:

@@ -23,6 +23,13 @@ def test_text_twins(spark, make, twin):
     assert column(spark, TEXTS, make) == [twin(t) for t in TEXTS]
 
 
+def test_blank_lines_are_collapsed_in_one_pass(spark):
+    text = "a\n \n\n" * 50_000
+    rows = spark.createDataFrame([(text,)], "v string").select(X.collapse_blanks("v").alias("v"))
+    assert "lambda" not in rows._jdf.queryExecution().optimizedPlan().toString()  # looking at each line's neighbour split the text anew
+    assert rows.first()[0] == plain.collapse_blanks(text) == "a\n\n" * 50_000
+
+
 def test_junk_titles(spark):
     assert column(spark, TITLES, X.junk_title) == [plain.junk_title(t) for t in TITLES]
 

@@ -9,10 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.shipping import ship
+from foliospark.shipping import arrow_rows as arrow_rows
 
-#: Rows of one Arrow batch sent to Python; texts are long, so Spark's own default of 10,000 is too many.
-ARROW_ROWS, ARROW_BYTES = 1024, 16 << 20
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -30,15 +28,6 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def arrow_rows(spark: SparkSession) -> None:
-    """Keeps Arrow batches small, unless the session names a size of its own; the workers get this package."""
-    ship(spark)
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-    if int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) > ARROW_BYTES:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
-
-
 def delete_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

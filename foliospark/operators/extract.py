@@ -17,7 +17,7 @@ from foliospark.config import Config
 from foliospark.errors import ExtractFailure
 from foliospark.functions import detect as D
 from foliospark.functions import text as X
-from foliospark.shipping import ship
+from foliospark.shipping import arrow_rows, pieces
 
 FOUND = (
     "title string, authors array<string>, doi string, journal string, body string, reason string,"
@@ -45,9 +45,9 @@ def text_extractor(config: Config, strip_refs: bool = False):
         from foliospark.operators.document import extract_text
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
-        for kinds, profiles, texts in batches:
-            rows = zip(kinds.to_pylist(), profiles.to_pylist(), texts.to_pylist(), strict=True)
-            yield pa.array([None if t is None else _row(extract_text, k, p, t, config, strip_refs) for k, p, t in rows], _FOUND)
+        for batch in batches:
+            for columns in pieces(*batch):
+                yield pa.array([None if t is None else _row(extract_text, k, p, t, config, strip_refs) for k, p, t in zip(*columns, strict=True)], _FOUND)
 
     return extract
 
@@ -68,7 +68,7 @@ def extract_documents(docs: DataFrame, config: Config | None = None, strip_refs:
     """(id, ext, text, and a reason if the source gives one) rows to id, source_format, title, authors, doi, journal, body, references, tables, markdown, bytes,
     status, reason. Failed rows have a reason and no Markdown."""
     config = config or Config()
-    ship(docs.sparkSession)
+    arrow_rows(docs.sparkSession)
     known = with_format(docs.select("id", "ext", "text", *[c for c in docs.columns if c == "reason"]), config)
     sent = F.when(F.col("reason").isNull(), F.col("text"))
     found = known.select("id", F.col("format").alias("source_format"), F.col("reason").alias("early"), text_extractor(config, strip_refs)("format", "profile", sent).alias("found"))

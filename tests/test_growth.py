@@ -24,3 +24,9 @@ def test_extraction_holds_few_rows_at_a_time(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     extract_documents(spark.createDataFrame([], "id string, ext string, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1024
+
+
+@with_data
+def test_depth_guard_deals_its_narrow_table_to_all_cores(spark):
+    got = QUERIES["depth_guard"](spark, str(DATA))
+    assert "RepartitionByExpression [p_partkey" in got._jdf.queryExecution().optimizedPlan().toString()

@@ -6,15 +6,17 @@ import re
 
 #: Unicode White_Space; Python's own idea of white space has four control characters more.
 WS = "\t-\r \x85\xa0  -     　"
-_RUN, _EDGE = re.compile(f"[{WS}]+"), re.compile(f"^[{WS}]+|[{WS}]+$")
+_RUN, _EDGES = re.compile(f"[{WS}]+"), "".join(c for c in map(chr, range(0x3001)) if re.match(f"[{WS}]", c))
 
 
 def trim(s: str) -> str:
-    return _EDGE.sub("", s)
+    return s.strip(_EDGES)
 
 
 def normalize(s: str) -> str:
-    return trim(_RUN.sub(" ", s))
+    if "\x1c" in s or "\x1d" in s or "\x1e" in s or "\x1f" in s:
+        return trim(_RUN.sub(" ", s))
+    return " ".join(s.split())
 
 
 def lines(s: str) -> list[str]:

@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 
 from foliospark.config import Config
+from foliospark.dom import css, xml
+from foliospark.operators import html_article
 from foliospark.operators.extract import extract_documents, text_extractor
 from foliospark.plans.catalog import QUERIES
 
@@ -30,3 +32,16 @@ def test_extraction_holds_few_rows_at_a_time(spark):
 def test_depth_guard_deals_its_narrow_table_to_all_cores(spark):
     got = QUERIES["depth_guard"](spark, str(DATA))
     assert "RepartitionByExpression [p_partkey" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_parsers_do_no_work_that_the_page_rules_out(monkeypatch):
+    tried = []
+    real = css.matches
+    monkeypatch.setattr(css, "matches", lambda e, c: tried.append(e.tag) or real(e, c))
+    found = html_article.extract("<article><nav><p>gone</p></nav>" + "<p>a <i>b</i></p>" * 50 + '<p class="x">c</p></article>', Config().profile("other"))
+    assert found["body"] == "a *b*\n\n" * 50 + "c\n\n"
+    assert "i" not in tried  # no attributes, and no selector names its type
+    deep = "<a>" * 65 + "</a>" * 65
+    assert xml.deeper_than(deep) and not xml.deeper_than(deep[3:]) and xml.deeper_than("<b/>" * 9 + deep)
+    monkeypatch.setattr(xml, "_PART", None)  # 64 start tags can't nest deeper
+    assert not xml.deeper_than("<a>" * 64 + "x</a></a>")

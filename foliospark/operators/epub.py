@@ -19,7 +19,7 @@ from foliospark.config import Config
 from foliospark.errors import ExtractFailure
 from foliospark.functions import text as X
 from foliospark.operators.extract import RECURSION, finished
-from foliospark.shipping import ship
+from foliospark.shipping import arrow_rows, pieces
 
 NAV = "array<struct<ord:int,parent_ord:int,depth:int,label:string,href:string,fragment:string>>"
 BOOK = f"title string, authors array<string>, doi string, publisher string, files array<struct<path:string,xhtml:string>>, nav {NAV}, classes array<string>, reason string"
@@ -43,8 +43,9 @@ def open_book():
     @F.arrow_udf(BOOK)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
-        for contents in batches:
-            yield pa.array([_opened(c) for c in contents.to_pylist()], _BOOK)
+        for batch in batches:
+            for (contents,) in pieces(batch):
+                yield pa.array([_opened(c) for c in contents], _BOOK)
 
     return run
 
@@ -65,12 +66,13 @@ def walk_rows():
         from foliospark.operators.epub_package import chapter, paper
 
         sys.setrecursionlimit(max(sys.getrecursionlimit(), RECURSION))
-        for columns in batches:
-            rows = []
-            for page, own, by_class, cs, pages in zip(*(x.to_pylist() for x in columns), strict=True):
-                md, headed = ("", False) if page is None else chapter(page, _mapped(own), _mapped(by_class), cs or [])
-                rows.append({"md": md, "headed": headed, "paper": None if pages is None else paper(pages)})
-            yield pa.array(rows, _WALKED)
+        for batch in batches:
+            for columns in pieces(*batch):
+                rows = []
+                for page, own, by_class, cs, pages in zip(*columns, strict=True):
+                    md, headed = ("", False) if page is None else chapter(page, _mapped(own), _mapped(by_class), cs or [])
+                    rows.append({"md": md, "headed": headed, "paper": None if pages is None else paper(pages)})
+                yield pa.array(rows, _WALKED)
 
     return run
 
@@ -112,7 +114,7 @@ def contents_list(nav) -> Column:
 
 def opened(raw: DataFrame) -> DataFrame:
     """(id, content) to id and `book`."""
-    ship(raw.sparkSession)
+    arrow_rows(raw.sparkSession)
     return raw.select("id", open_book()("content").alias("book"))
 
 

@@ -18,6 +18,7 @@ from foliospark import config as C
 from foliospark.functions import detect as D
 from foliospark.functions import text as X
 from foliospark.operators.extract import detect_documents, extract_documents, with_format
+from foliospark.shipping import arrow_rows, pieces
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -345,10 +346,12 @@ def _archive(entries: list[dict]) -> bytes:
 
 
 def _zipped(entries):
-    # Made here and not at import: a type's name is parsed by the JVM, which needs a session.
+    # Made here and not at import: a type's name is parsed by the JVM, which needs a session. A function takes along what was shipped before it.
+    arrow_rows(SparkSession.active())
+
     @F.arrow_udf("binary")
     def run(column: pa.Array) -> pa.Array:
-        return pa.array([_archive(own) for own in column.to_pylist()], pa.binary())
+        return pa.array((_archive(own) for (entries,) in pieces(column) for own in entries), pa.binary())
 
     return run(entries)
 

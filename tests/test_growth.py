@@ -8,6 +8,7 @@ import pytest
 from foliospark.config import Config
 from foliospark.dom import css, xml
 from foliospark.operators import html_article
+from foliospark.operators.epub import open_book
 from foliospark.operators.extract import extract_documents, text_extractor
 from foliospark.plans.catalog import QUERIES
 
@@ -45,3 +46,10 @@ def test_parsers_do_no_work_that_the_page_rules_out(monkeypatch):
     assert xml.deeper_than(deep) and not xml.deeper_than(deep[3:]) and xml.deeper_than("<b/>" * 9 + deep)
     monkeypatch.setattr(xml, "_PART", None)  # 64 start tags can't nest deeper
     assert not xml.deeper_than("<a>" * 64 + "x</a></a>")
+
+
+def test_books_are_opened_few_at_a_time(spark):
+    batch = pa.array([b"no archive"] * 300, pa.binary())
+    got = list(open_book().func(iter([batch])))
+    assert sum(map(len, got)) == 300 and max(map(len, got)) <= 64
+    assert got[0][0].as_py()["reason"].startswith("opening ePub")

@@ -182,6 +182,8 @@ def extract_books(raw: DataFrame, config: Config | None = None) -> DataFrame:
     authors = F.when((kind == "paper") & (F.size(p.authors) > 0), p.authors).otherwise(F.col("head.authors"))
     text = F.when(kind == "book", book).when(kind == "paper", F.concat(title_line(title), p.walked))
     reason = F.when((kind == "book") & (F.size("chapters") == 0), "no body content found in ePub").otherwise(F.col("head.reason"))
-    every = whole.select("id", F.lit("epub").alias("source_format"), reason.alias("reason"), title.alias("title"), F.coalesce(authors, F.array().cast("array<string>")).alias("authors"), F.when(kind == "paper", F.coalesce(p.doi, "head.doi")).otherwise(F.col("head.doi")).alias("doi"), F.when(kind == "paper", p.journal).otherwise(none).alias("journal"), X.collapse_blanks(text).alias("body"))
+    # The body is a column of its own before its blank lines go: a rule that names it twice doesn't build it twice.
+    whole = whole.withColumns({"body_": text, "reason_": reason, "title_": title, "authors_": authors})
+    every = whole.select("id", F.lit("epub").alias("source_format"), F.col("reason_").alias("reason"), F.col("title_").alias("title"), F.coalesce("authors_", F.array().cast("array<string>")).alias("authors"), F.when(kind == "paper", F.coalesce(p.doi, "head.doi")).otherwise(F.col("head.doi")).alias("doi"), F.when(kind == "paper", p.journal).otherwise(none).alias("journal"), X.collapse_blanks("body_").alias("body"))
     empty = {"references": F.array().cast("array<struct<label:string,text:string>>"), "tables": F.array().cast("array<struct<head:boolean,cells:array<string>>>")}
     return finished(every.withColumns(empty).select("id", "source_format", "reason", "title", "authors", "doi", "journal", "body", "references", "tables"))

@@ -53,3 +53,8 @@ def test_books_are_opened_few_at_a_time(spark):
     got = list(open_book().func(iter([batch])))
     assert sum(map(len, got)) == 300 and max(map(len, got)) <= 64
     assert got[0][0].as_py()["reason"].startswith("opening ePub")
+
+
+@with_data
+def test_a_books_body_is_put_together_before_its_blank_lines_go(spark):
+    assert "regexp_replace(body_" in plan(spark, "epub_roundtrip")

@@ -426,9 +426,11 @@ def epub_toc(spark, sf_dir):
 def epub_spine_roles(spark, sf_dir):
     from foliospark.operators import epub as E
 
-    files = E.opened(_books(spark, sf_dir)).select(F.col("id").cast("long").alias("doc_id"), F.explode("book.files").alias("f"), "book")
-    label = E.nav_label(F.col("book.nav"), F.col("f.path"))
-    return files.select("doc_id", F.col("f.path").alias("src"), E.kept_file("f.path", label).alias("kept"), label.alias("label"), F.try_element_at(E.toc_levels(F.col("book.nav"), F.col("f.path")), F.lit("s1")).alias("level"))
+    # A row for each file takes the navigation along, not the pages of its whole book.
+    files = E.opened(_books(spark, sf_dir)).select(F.col("id").cast("long").alias("doc_id"), F.col("book.nav").alias("nav"), F.transform("book.files", lambda f: f.path).alias("paths"))
+    files = files.select("doc_id", "nav", F.explode("paths").alias("src"))
+    known = files.select("doc_id", "src", E.nav_label(F.col("nav"), F.col("src")).alias("label"), F.try_element_at(E.toc_levels(F.col("nav"), F.col("src")), F.lit("s1")).alias("level"))
+    return known.select("doc_id", "src", E.kept_file(F.col("src"), F.col("label")).alias("kept"), "label", "level")
 
 
 def _marked(spark, sf_dir) -> DataFrame:

@@ -58,3 +58,8 @@ def test_books_are_opened_few_at_a_time(spark):
 @with_data
 def test_a_books_body_is_put_together_before_its_blank_lines_go(spark):
     assert "regexp_replace(body_" in plan(spark, "epub_roundtrip")
+
+
+@with_data
+def test_rows_of_files_take_no_pages_along(spark):
+    assert "Generate explode(paths" in plan(spark, "epub_spine_roles")

@@ -14,7 +14,7 @@ from foliospark.config import SplitConfig
 from foliospark.errors import EngineError
 from foliospark.functions.text import escape_yaml, heading_slug, pad_number, source_stem, trim_white
 from foliospark.operators.chapters import parsed
-from foliospark.shipping import ship
+from foliospark.shipping import arrow_rows, pieces
 
 
 @dataclass(frozen=True)
@@ -64,51 +64,47 @@ def renamed():
 
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for paths, numbers in batches:
-            rows = []
-            for own, ns in zip(paths.to_pylist(), numbers.to_pylist(), strict=True):
-                used: dict[str, None] = {}
-                for path, n in zip(own or (), ns or (), strict=True):
-                    used[free_name(path, n, used)] = None
-                rows.append(None if own is None else list(used))
-            yield pa.array(rows, pa.list_(pa.string()))
+        for batch in batches:
+            for columns in pieces(*batch):
+                rows = []
+                for own, ns in zip(*columns, strict=True):
+                    if own is not None and len(set(own)) < len(own):
+                        used: dict[str, None] = {}
+                        for path, n in zip(own, ns, strict=True):
+                            used[free_name(path, n, used)] = None
+                        own = list(used)
+                    rows.append(own)
+                yield pa.array(rows, pa.list_(pa.string()))
 
     return run
 
 
-def _pathed(books: DataFrame) -> DataFrame:
-    """`files` (index, title, path, content) of each book with free paths: only books in which two paths are equal go
-    through the sequential rule."""
-    paths = F.transform("files", lambda f: f.path)
-    clash = F.size(F.array_distinct(paths)) < F.size("files")
-    fixed = renamed()(F.when(clash, paths), F.when(clash, F.transform("files", lambda f: f.index)))
-    return books.withColumn("fixed", fixed).select("book", F.transform("files", lambda f, i: F.struct("book", f.index.alias("index"), f.title.alias("title"), F.coalesce(F.get("fixed", i), f.path).alias("path"), f.content.alias("content"))).alias("files"))
-
-
 def split_files(books: DataFrame, config: SplitConfig | None = None, outdir: str = "") -> DataFrame:
     """(book, markdown) to book, index (0: front file), title, path, bytes, content. Books with an error or without chapters
     give no rows; split_errors() has them. Each book is parsed once."""
     config = config or SplitConfig()
-    ship(books.sparkSession)
+    arrow_rows(books.sparkSession)
     good = parsed(books).filter(F.col("error").isNull() & (F.size("chapters") > 0))
     base = f"{outdir.rstrip('/')}/" if outdir else ""
     blank = F.lit("")
     values = lambda **v: Values(**({"book": F.col("book"), "n": F.lit(0), "slug": blank, "title": blank, "src": blank, "pad": config.pad} | v))
     sub = F.concat(F.lit(base), compile_template(config.subdir, values()), F.lit("/")) if config.subdir else F.lit(base)
-    head = F.when(F.col("frontmatter") != "", F.concat(F.lit("---\n"), "frontmatter", F.lit("---\n\n"))).otherwise("")
-
-    def file(c) -> Column:
-        name = compile_template(config.file, values(n=c.index, slug=heading_slug(c.title), title=c.title, src=source_stem(c.src)))
-        source = F.when(c.src != "", F.concat(F.lit('source: "'), escape_yaml(c.src), F.lit('"\n'))).otherwise("")
-        text = F.concat(F.lit("---\n"), "frontmatter", F.lit("chapter: "), c.index.cast("string"), F.lit('\nchapter_title: "'), escape_yaml(c.title), F.lit('"\n'), source, F.lit("---\n\n"), trim_white(c.body), F.lit("\n"))
-        return F.struct(c.index.alias("index"), c.title.alias("title"), F.concat(sub, name).alias("path"), text.alias("content"))
-
-    files = F.transform("chapters", file)
+    # Names come first, from the short columns; each file's text is put together once, after it has its row.
+    named = lambda c: F.concat(sub, compile_template(config.file, values(n=c.index, slug=heading_slug(c.title), title=c.title, src=source_stem(c.src))))
+    item = lambda index, title, src, body: F.struct(index.alias("index"), title.alias("title"), src.alias("src"), body.alias("body"))
+    paths, numbers = F.transform("chapters", named), F.transform("chapters", lambda c: c.index)
+    items = F.transform("chapters", lambda c: item(c.index, c.title, c.src, c.body))
     if config.front:
         front = compile_template(config.front, values(slug=F.lit("frontmatter"), title=F.lit("frontmatter")))
-        first = F.struct(F.lit(0).alias("index"), F.col("book").alias("title"), F.concat(sub, front).alias("path"), F.concat(head, "preamble", F.lit("\n")).alias("content"))
-        files = F.concat(F.array(first), files)
-    out = _pathed(good.select("book", files.alias("files"))).select(F.explode("files").alias("f")).select("f.*")
+        paths, numbers = F.concat(F.array(F.concat(sub, front)), paths), F.concat(F.array(F.lit(0)), numbers)
+        items = F.concat(F.array(item(F.lit(0), F.col("book"), blank, F.col("preamble"))), items)
+    each = good.select("book", "frontmatter", items.alias("items"), renamed()(paths, numbers).alias("paths")).select("book", "frontmatter", "paths", F.posexplode("items").alias("at", "f"))
+    each = each.select("book", "f.*", F.get("paths", "at").alias("path"), "frontmatter")
+    head = F.when(F.col("frontmatter") != "", F.concat(F.lit("---\n"), "frontmatter", F.lit("---\n\n"))).otherwise("")
+    source = F.when(F.col("src") != "", F.concat(F.lit('source: "'), escape_yaml("src"), F.lit('"\n'))).otherwise("")
+    text = F.concat(F.lit("---\n"), "frontmatter", F.lit("chapter: "), F.col("index").cast("string"), F.lit('\nchapter_title: "'), escape_yaml("title"), F.lit('"\n'), source, F.lit("---\n\n"), trim_white("body"), F.lit("\n"))
+    content = F.when(F.col("index") == 0, F.concat(head, "body", F.lit("\n"))).otherwise(text)
+    out = each.select("book", "index", "title", "path", content.alias("content"))
     return out.select("book", "index", "title", "path", F.octet_length("content").cast("long").alias("bytes"), "content")
 
 

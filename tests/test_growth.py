@@ -63,3 +63,9 @@ def test_a_books_body_is_put_together_before_its_blank_lines_go(spark):
 @with_data
 def test_rows_of_files_take_no_pages_along(spark):
     assert "Generate explode(paths" in plan(spark, "epub_spine_roles")
+
+
+@with_data
+def test_chapters_are_parsed_in_place_and_written_once(spark):
+    shown = plan(spark, "split_files")
+    assert "Window" not in shown and "Aggregate" not in shown and shown.count("chapter_title") == 1
